@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import simhash
+from granary.llm import simhash, substring_dedup
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_removed(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_simhash": op6_simhash}
+    return {f.__name__: f for f in (op3_substring_dedup, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
