@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import simhash, substring_dedup
+from granary.llm import langid, simhash, substring_dedup, token_files
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +22,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identified(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op6_simhash)}
+    return {f.__name__: f for f in (op3_substring_dedup, op6_simhash, op9_token_files, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
