@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import langid, simhash, substring_dedup, token_files
+from granary.llm import decontam, langid, mixing, simhash, substring_dedup, token_files
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, taken = mixing.mixed(read_table(spark, sf_dir, "documents"))
+    return taken
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_removed(read_table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_digests(read_table(spark, sf_dir, "documents"))
 
@@ -32,8 +41,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op6_simhash, op9_token_files, op10_language_id)}
+    every = (op1_mixing, op3_substring_dedup, op6_simhash, op7_decontamination, op9_token_files, op10_language_id)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.ORACLE_SQL}
