@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.scratch import shared_path, written
@@ -36,8 +36,8 @@ _HEAD = struct.Struct("<4sBIQIQ")
 BLOCK_IDS = 4096
 #: Characters of text for a file.
 FILE_CHARS = 4 << 20
-#: Pieces whose ids a Python worker remembers.
-CACHE_PIECES = 1_000_000
+#: Words, and pieces of words, whose ids a Python worker remembers.
+CACHE_PIECES = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -100,13 +100,17 @@ class TokenFile:
 # words is dropped, letters here are lower-cased one to one, and no character combines with another. Other texts are
 # cut at white space only. Either way each distinct piece is encoded by the tokenizer itself.
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ÿ]+")
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r a-z0-9ß-öø-ÿ]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose pieces between white space are independent (word-end BPE)."""
+    """Ids of whole texts by a tokenizer whose pieces between white space are independent (word-end BPE).
+
+    Remembers the ids of words, and of the pieces that words are made of, up
+    to ``cache`` of each; a full memory is emptied.
+    """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
         from tokenizers import Tokenizer
@@ -115,12 +119,12 @@ class WordEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self.special[-1] if self.special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many to a call, with a special token between them as a mark."""
-        if len(self.known) + len(pieces) > self.most:
-            self.known.clear()
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """Encode pieces, many to a call, with a special token between them as a mark."""
+        out = {}
         lumps = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
         for lump, found in zip(lumps, self.tokenizer.encode_batch_fast([self.mark.join(x) for x in lumps], add_special_tokens=False)):
             ids = np.array(found.ids, dtype="<u4")
@@ -128,31 +132,32 @@ class WordEncoder:
             if len(cuts) != len(lump) - 1:
                 raise ValueError("a piece holds a special token")
             for piece, a, b in zip(lump, [0, *(cuts + 1)], [*cuts, len(ids)]):
-                self.known[piece] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if self.mark is None or any(s in text for s in self.special):
-                cut.append(None)
-            elif _PLAIN.fullmatch(text):
-                cut.append(_PIECES.findall(text.lower()))
-            else:
-                cut.append(_WORDS.findall(text))
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            found = list(map(self.known.get, pieces))
-            if None in found:
-                self._learn(list({p for p, f in zip(pieces, found) if f is None}))
-                if None in (found := list(map(self.known.get, pieces))):  # the memory was emptied meanwhile
-                    self._learn(list({p for p, f in zip(pieces, found) if f is None}))
-                    found = list(map(self.known.get, pieces))
-            out.append(np.frombuffer(b"".join(found), dtype="<u4"))
+                out[piece] = ids[a:b].tobytes()
+        return out
+
+    def _learn(self, words: set[str], plain: bool) -> dict[str, bytes]:
+        """Ids of words that are not remembered."""
+        cut = {w: _PIECES.findall(w) if plain else [w] for w in words}
+        new = [p for p in {p for x in cut.values() for p in x} if p not in self.pieces]
+        fresh = self._encoded(new) if new else {}
+        out = {w: b"".join([self.pieces[p] if p in self.pieces else fresh[p] for p in x]) for w, x in cut.items()}
+        for memory, more in ((self.pieces, fresh), (self.words, out)):
+            if len(memory) + len(more) > self.most:
+                memory.clear()
+            memory.update(more)
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        if self.mark is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        plain = _PLAIN.fullmatch(text) is not None
+        words = text.lower().split() if plain else _WORDS.findall(text)
+        found = list(map(self.words.get, words))
+        if None in found:
+            new = self._learn({w for w, f in zip(words, found) if f is None}, plain)
+            found = [new[w] if f is None else f for w, f in zip(words, found)]
+        return np.frombuffer(b"".join(found), dtype="<u4")
+
 
 def encoder(path: str) -> WordEncoder:
     """The process's encoder for a tokenizer file."""
@@ -170,68 +175,54 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids binary) as unsigned 32-bit numbers, in ``docs``' partitions. The tokenizer's file name is opened where the task runs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path(tokenizer)).encode, np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [x.astype("<u4").tobytes() + end for x in encode(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, vocabulary: int = 49408, file_chars: int = FILE_CHARS) -> None:
     """Write the ids of every row of ``docs`` (doc_id, text) as token files under ``path``, in ascending doc_id order.
 
-    Rows (part, start, n_ids, doc_ids, file). Files cover ranges of doc_id
-    (nulls first) that sampling cuts to about ``file_chars`` characters; rows
-    that share a doc_id stay together, ordered by their ids. Null texts are
-    empty: only the end id. An empty table gives no file. Other columns are
-    ignored.
+    Rows (part, start, n_ids, doc_ids, file). Sampling cuts the documents by
+    doc_id (nulls first) into ranges of about ``file_chars`` characters, one
+    or more files each; rows that share a doc_id are ordered by their texts.
+    Null texts are empty: only the end id. An empty table gives no file. Other
+    columns are ignored. The tokenizer's file name is opened where a task runs.
     """
     bits = bits_for(vocabulary)
-    spark = docs.sparkSession
-    ids = written(_encoded(docs, tokenizer, end_id), "ids")
-    size = ids.agg(F.coalesce(F.sum(F.octet_length("ids")), F.lit(0))).first()[0]
-    n_parts = 1 + size // file_chars
-    ranged = ids.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "ids").select("doc_id", "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranged = texts.repartitionByRange(1 + size // file_chars, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_ids: list = []
+        encode, end = encoder(tokenizer_path(tokenizer)).encode, np.array([end_id], dtype=np.uint32)
+        doc_ids: list = []
         parts: list[np.ndarray] = []
-        held, seq = 0, 0
+        held, seq, least = 0, 0, None
 
         def flush() -> pa.RecordBatch:
-            least = docs_ids[0]
-            columns = [pa.array([x], t) for x, t in ((least, pa.int64()), (seq, pa.int32()), (sum(map(len, parts)), pa.int64()), (docs_ids, pa.list_(pa.int64())), (to_file(parts, bits), pa.binary()))]
+            columns = [pa.array([x], t) for x, t in ((least, pa.int64()), (seq, pa.int32()), (sum(map(len, parts)), pa.int64()), (doc_ids, pa.list_(pa.int64())), (to_file(parts, bits), pa.binary()))]
             return pa.RecordBatch.from_arrays(columns, ["least", "seq", "n_ids", "doc_ids", "file"])
 
         for batch in batches:
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                docs_ids.append(doc_id)
-                parts.append(np.frombuffer(data, "<u4"))
-                held += len(data)
-                if held >= 2 * file_chars:  # a range that sampling cut too wide, or very many rows of one doc_id
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                if not doc_ids and not seq:
+                    least = doc_id.as_py()
+                ids = encode(text := text.as_py())
+                doc_ids.append(doc_id.as_py())
+                parts.append(np.concatenate((ids, end)))
+                held += len(text)
+                if held >= file_chars:
                     yield flush()
-                    docs_ids, parts, held, seq = [], [], 0, seq + 1
+                    doc_ids, parts, held, seq = [], [], 0, seq + 1
         if parts:
             yield flush()
 
     files = written(ranged.mapInArrow(run, "least long, seq int, n_ids long, doc_ids array<long>, file binary"), "packed")
-    _place(spark, files).write.parquet(path)
+    _place(files).write.parquet(path)
 
 
-def _place(spark: SparkSession, files: DataFrame) -> DataFrame:
+def _place(files: DataFrame) -> DataFrame:
     """Give each file the number of ids before it.
 
     A file stands for megabytes of text, so the sums over files are small:
     they run in one window over (least, seq, n_ids) alone, without the bytes.
     """
-    from pyspark.sql import Window
-
     order = Window.orderBy(F.col("least").asc_nulls_first(), "seq")
     sizes = files.select("least", "seq", "n_ids")
     starts = sizes.select("least", "seq", F.row_number().over(order).alias("part"), (F.sum("n_ids").over(order) - F.col("n_ids")).alias("start"))
