@@ -6,14 +6,14 @@ documents it covers, so that any store that Spark writes to can hold it::
     4s  magic "GTK1"
     u1  bits an id takes          (the least that the vocabulary fits into)
     u4  ids in a block
-    u8  first id's number over all files
     u4  documents
     u8  ids
     u4 x documents   ids of each document, its end id included
     u8 x blocks + 1  byte offset of each block within the packed part
     packed ids; each block begins at a byte
 
-All numbers are little-endian. A block's bytes unpack at once in numpy, and
+An index beside the files gives the number of ids before each. All numbers
+are little-endian. A block's bytes unpack at once in numpy, and
 an id's place follows from its number alone, so any span of ids can be read
 without the rest.
 """
@@ -23,21 +23,23 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import shared_path, written
+from granary.llm.scratch import shared_path
 
-_HEAD = struct.Struct("<4sBIQIQ")
+_HEAD = struct.Struct("<4sBIIQ")
 BLOCK_IDS = 4096
 #: Characters of text for a file.
 FILE_CHARS = 4 << 20
 #: Words, and pieces of words, whose ids a Python worker remembers.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -60,22 +62,22 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(planes, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
 
 
-def to_file(docs: list[np.ndarray], bits: int, start: int = 0, block: int = BLOCK_IDS) -> bytes:
-    """One file of the given documents' ids; ``start`` is the number of ids before it."""
+def to_file(docs: list[np.ndarray], bits: int, block: int = BLOCK_IDS) -> bytes:
+    """One file of the given documents' ids."""
     ids = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
     if len(ids) and int(ids.max()) >> bits:
         raise ValueError(f"an id needs more than {bits} bits")
     blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
     lengths = np.array([len(d) for d in docs], dtype="<u4")
     offsets = np.cumsum([0, *(len(b) for b in blocks)], dtype="<u8")
-    return b"".join((_HEAD.pack(b"GTK1", bits, block, start, len(docs), len(ids)), lengths.tobytes(), offsets.tobytes(), *blocks))
+    return b"".join((_HEAD.pack(b"GTK1", bits, block, len(docs), len(ids)), lengths.tobytes(), offsets.tobytes(), *blocks))
 
 
 class TokenFile:
     """Random access to one file's ids."""
 
     def __init__(self, data: bytes):
-        magic, self.bits, self.block, self.start, n_docs, self.n_ids = _HEAD.unpack_from(data)
+        magic, self.bits, self.block, n_docs, self.n_ids = _HEAD.unpack_from(data)
         if magic != b"GTK1":
             raise ValueError("not a token file")
         self.lengths = np.frombuffer(data, "<u4", n_docs, _HEAD.size).astype(np.int64)
@@ -102,6 +104,9 @@ class TokenFile:
 _PLAIN = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r a-z0-9ß-öø-ÿ]+")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+#: Byte-level tokenizers' letters for bytes: printable Latin-1 stands for itself, the other bytes for U+0100 and on in turn.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTERS = {b: b if b in _PRINTABLE else 256 + b - sum(x < b for x in _PRINTABLE) for b in range(256)}
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -135,28 +140,35 @@ class WordEncoder:
                 out[piece] = ids[a:b].tobytes()
         return out
 
-    def _learn(self, words: set[str], plain: bool) -> dict[str, bytes]:
-        """Ids of words that are not remembered."""
-        cut = {w: _PIECES.findall(w) if plain else [w] for w in words}
-        new = [p for p in {p for x in cut.values() for p in x} if p not in self.pieces]
-        fresh = self._encoded(new) if new else {}
-        out = {w: b"".join([self.pieces[p] if p in self.pieces else fresh[p] for p in x]) for w, x in cut.items()}
-        for memory, more in ((self.pieces, fresh), (self.words, out)):
-            if len(memory) + len(more) > self.most:
-                memory.clear()
-            memory.update(more)
-        return out
+    def _piece(self, piece: str) -> bytes:
+        """A piece of a plain text is what the tokenizer's normaliser and splitter would hand to its model: ask the model."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+
+    def _learn(self, words: set[str], plain: bool) -> None:
+        if not plain:
+            self.words.update(self._encoded(list(words)))
+            return
+        cut = {w: _PIECES.findall(w) for w in words}
+        new = set(chain.from_iterable(cut.values())).difference(self.pieces)
+        if len(self.pieces) + len(new) > self.most:
+            self.pieces.clear()
+            new = set(chain.from_iterable(cut.values()))
+        self.pieces.update((p, self._piece(p)) for p in new)
+        get = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(get, x))) for w, x in cut.items())
 
     def encode(self, text: str) -> np.ndarray:
         if self.mark is None or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         plain = _PLAIN.fullmatch(text) is not None
         words = text.lower().split() if plain else _WORDS.findall(text)
-        found = list(map(self.words.get, words))
-        if None in found:
-            new = self._learn({w for w, f in zip(words, found) if f is None}, plain)
-            found = [new[w] if f is None else f for w, f in zip(words, found)]
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        new = set(words).difference(self.words)
+        if new:
+            if len(self.words) + len(new) > self.most:
+                self.words.clear()
+                new = set(words)
+            self._learn(new, plain)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
 
 
 def encoder(path: str) -> WordEncoder:
@@ -178,7 +190,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, vocabulary: int = 49408, file_chars: int = FILE_CHARS) -> None:
     """Write the ids of every row of ``docs`` (doc_id, text) as token files under ``path``, in ascending doc_id order.
 
-    Rows (part, start, n_ids, doc_ids, file). Sampling cuts the documents by
+    ``path``/files has rows (least, seq, n_ids, doc_ids, file), ``path``/index
+    (least, seq, part, start): a file's place and the ids before it. Sampling cuts the documents by
     doc_id (nulls first) into ranges of about ``file_chars`` characters, one
     or more files each; rows that share a doc_id are ordered by their texts.
     Null texts are empty: only the end id. An empty table gives no file. Other
@@ -213,56 +226,52 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
         if parts:
             yield flush()
 
-    files = written(ranged.mapInArrow(run, "least long, seq int, n_ids long, doc_ids array<long>, file binary"), "packed")
-    _place(files).write.parquet(path)
-
+    ranged.mapInArrow(run, "least long, seq int, n_ids long, doc_ids array<long>, file binary").write.parquet(f"{path}/files")
+    # A file stands for megabytes of text: the sums run in one window over a small row for each.
+    order = Window.orderBy(F.col("least").asc_nulls_first(), "seq")
+    sizes = docs.sparkSession.read.parquet(f"{path}/files").select("least", "seq", "n_ids")
+    sizes.select("least", "seq", F.row_number().over(order).alias("part"), (F.sum("n_ids").over(order) - F.col("n_ids")).alias("start")).write.parquet(f"{path}/index")
 
-def _place(files: DataFrame) -> DataFrame:
-    """Give each file the number of ids before it.
 
-    A file stands for megabytes of text, so the sums over files are small:
-    they run in one window over (least, seq, n_ids) alone, without the bytes.
-    """
-    order = Window.orderBy(F.col("least").asc_nulls_first(), "seq")
-    sizes = files.select("least", "seq", "n_ids")
-    starts = sizes.select("least", "seq", F.row_number().over(order).alias("part"), (F.sum("n_ids").over(order) - F.col("n_ids")).alias("start"))
-    stamp = F.concat(F.substring("file", 1, 9), F.unhex(F.concat(*(F.lpad(F.hex(F.shiftrightunsigned("start", 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(8)))), F.expr("substring(file, 18, octet_length(file))"))
-    return files.join(starts, files["least"].eqNullSafe(starts["least"]) & (files["seq"] == starts["seq"])).select("part", "start", "n_ids", "doc_ids", stamp.alias("file"))
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """(start, doc_ids, file). Spark broadcasts the index while it is under its size threshold."""
+    files, index = spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/index")
+    return files.join(index, files["least"].eqNullSafe(index["least"]) & (files["seq"] == index["seq"])).select("start", "doc_ids", "file")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start long, ids array<long>) for every document in the files under ``path``, unpacked from their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, file in _files(batches):
+        for start, doc_ids, file in _files(batches):
             for a, b in _runs(file):
                 span = file.ids(int(file.first[a]), int(file.first[b]))
                 lengths = pa.array(np.concatenate(([0], np.cumsum(file.lengths[a:b]))), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(file.start + file.first[a:b], pa.int64()), pa.ListArray.from_arrays(lengths, pa.array(span, pa.int64()))], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(start + file.first[a:b], pa.int64()), pa.ListArray.from_arrays(lengths, pa.array(span, pa.int64()))], ["doc_id", "start", "ids"])
 
-    return spark.read.parquet(path).select("doc_ids", "file").mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return _stored(spark, path).mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) for every document in the files under ``path``, from the unpacked ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, file in _files(batches):
+        for start, doc_ids, file in _files(batches):
             crcs = []
             for a, b in _runs(file):
                 data = memoryview(file.ids(int(file.first[a]), int(file.first[b])).astype("<u4").tobytes())
                 cuts = 4 * (file.first[a : b + 1] - file.first[a])
                 crcs += [zlib.crc32(data[x:y]) for x, y in zip(cuts, cuts[1:])]
-            columns = (doc_ids, file.start + file.first[:-1], file.lengths, crcs)
+            columns = (doc_ids, start + file.first[:-1], file.lengths, crcs)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.parquet(path).select("doc_ids", "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _stored(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, TokenFile]]:
+def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, TokenFile]]:
     for batch in batches:
-        for doc_ids, data in zip(batch.column("doc_ids"), batch.column("file")):
-            yield doc_ids.as_py(), TokenFile(data.as_py())
+        for start, doc_ids, data in zip(*batch.columns):
+            yield start.as_py(), doc_ids.as_py(), TokenFile(data.as_py())
 
 
 def _runs(file: TokenFile, ids: int = 1 << 20) -> Iterator[tuple[int, int]]:
