@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, html_text, langid, mixing, simhash, substring_dedup, token_files, topk
+from granary.llm import decontam, html_text, langid, mixing, pii, simhash, substring_dedup, token_files, topk, url_filter
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats_removed(read_table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -50,9 +58,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_mixing, op3_substring_dedup, op4_html_text, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id)
+    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op2_url_filter": url_filter.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL}
