@@ -146,15 +146,15 @@ def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     one at which a source's target is reached is cut, and rounded here.
     """
     _, taken = mixed(docs, seed)
-    times = taken.where("taken > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"), F.col("size").alias("_size"))
+    key = ["_id", "_no_id", "_size"]
     # Rows that share an id and a size are told apart by nothing that the mix uses: they share their copies, most first.
-    shared = times.groupBy("_id", "_size").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_n"))
+    times = taken.where("taken > 0").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id"), F.col("size").alias("_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
+    times = times.groupBy(*key).agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_n"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64(*docs.columns))
-    numbered = docs.withColumn("_size", size).withColumn("_rn", F.row_number().over(same)).alias("d")
-    joined = numbered.join(shared.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t._id")) & (F.col("d._size") == F.col("t._size")))
-    copies = F.coalesce(F.try_element_at(F.col("t._n"), F.col("d._rn")), F.lit(0))
-    return joined.withColumn("_copy", F.explode(F.expr("sequence(1, 1)"))).select(*(F.col(f"d.`{c}`") for c in docs.columns), copies.alias("_copies")).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(f"`{c}`" for c in docs.columns))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.isnull("doc_id"), "_size": size}).join(times, key)
+    columns = [f"`{c}`" for c in docs.columns]
+    rows = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*columns))))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.try_element_at("_n", F.col("_rn")), F.lit(0))))).select(*columns)
 
 
 ORACLE_SQL = f"""

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.components import connected_components
@@ -46,16 +46,23 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(bits.ravel(), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of ``docs``; a null text has no words."""
+def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
+    """``docs`` with fp (long) added, in the place of a column of that name; a null text has no words."""
+    kept = docs.select(*(f"`{c}`" for c in docs.columns if c != "fp"))
+    at = kept.columns.index("text")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t or b"", width) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = [fingerprint((t.as_py() or "").encode("utf-8", "replace"), width) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "fp"])
+
+    return kept.mapInArrow(run, schema)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row of ``docs``."""
+    return with_fingerprint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width).select("doc_id", "fp")
 
 
 def _signed(mask: int) -> int:
@@ -123,3 +130,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     roots = connected_components(linked(distinct.where(F.col("rep").isNotNull()), max_bits))
     named = distinct.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: that of the smallest doc_id; of several, the first by a hash of the row.
+
+    A component without any doc_id has no name: of such rows one of each
+    fingerprint stays.
+    """
+    found = near_duplicates(docs, width, max_bits)
+    first = Window.orderBy(F.xxhash64(*(f"`{c}`" for c in docs.columns)))
+    heads = found.where(F.col("doc_id") == F.col("component_id")).select("component_id").distinct()
+    named = docs.join(heads, F.col("doc_id") == F.col("component_id"), "left_semi")
+    named = named.withColumn("_rn", F.row_number().over(first.partitionBy("doc_id")))
+    lone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
+    loose = with_fingerprint(docs.where(F.col("doc_id").isNull()), width).withColumnRenamed("fp", "_fp")
+    loose = loose.join(lone, F.col("_fp") == lone["fp"], "left_semi").withColumn("_rn", F.row_number().over(first.partitionBy("_fp")))
+    columns = [f"`{c}`" for c in docs.columns]
+    return named.where("_rn = 1").select(*columns).unionByName(loose.where("_rn = 1").select(*columns))
