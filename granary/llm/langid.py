@@ -91,8 +91,8 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 128, sizes: t
     return Model(languages, sizes, features, np.ascontiguousarray(marks.T), (whiten @ solved).astype(np.float32), (target_mean - phi_mean @ solved).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score (0 to 1) added.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score (0 to 1) added, under ``names``, in the place of columns so named.
 
     The language of the highest regression value; ties go to the first by
     name. score is the softmax of the values, sharpened, at that language.
@@ -100,10 +100,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     language gives ``und`` with score 0. Whole texts are read. Only ``text``
     is looked at; all other columns pass through, repeated rows too.
     """
-    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in ("lang_pred", "score")]
-    kept = docs.select(*columns)
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in names]
+    kept = docs.select(*(f"`{c}`" for c in columns))
     shared = spark.sparkContext.broadcast(model)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -112,15 +112,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(at, _BATCH)
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 good = [i for i, t in enumerate(texts) if t is not None and m.languages and _LETTER.search(t)]
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if good:
                     values = m.scores([texts[i] for i in good]).astype(np.float64)
                     best = values.argmax(axis=1)
                     soft = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
                     top = 1 / soft.sum(axis=1)
                     for i, k, s in zip(good, best, top):
-                        names[i], scores[i] = m.languages[k], float(s)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                        langs[i], scores[i] = m.languages[k], float(s)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 
@@ -130,7 +130,7 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with lang_pred and score, learnt from the rows that are not held out. A null doc_id is not held out."""
+def identified(docs: DataFrame, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with lang_pred and score, under ``names``, learnt from the rows that are not held out. A null doc_id is not held out."""
     train = docs.where(F.coalesce(~held_out("doc_id"), F.lit(True)))
-    return predict(docs, fit(train))
+    return predict(docs, fit(train), names)

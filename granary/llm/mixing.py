@@ -146,15 +146,15 @@ def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     one at which a source's target is reached is cut, and rounded here.
     """
     _, taken = mixed(docs, seed)
-    key = ["_id", "_no_id", "_size"]
+    key = ["id", "no_id", "size"]
     # Rows that share an id and a size are told apart by nothing that the mix uses: they share their copies, most first.
-    times = taken.where("taken > 0").select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_no_id"), F.col("size").alias("_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
-    times = times.groupBy(*key).agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_n"))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_no_id": F.isnull("doc_id"), "_size": size}).join(times, key)
-    columns = [f"`{c}`" for c in docs.columns]
-    rows = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*columns))))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.try_element_at("_n", F.col("_rn")), F.lit(0))))).select(*columns)
+    times = taken.where("taken > 0").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("n"))
+    times = times.groupBy(*key).agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    packed = docs.select(F.struct("*").alias("row"))
+    keyed = packed.withColumns({"id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)), "no_id": F.isnull("row.doc_id"), "size": size}).join(times, key)
+    rows = keyed.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row"))))
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.try_element_at("n", F.col("i")), F.lit(0))))).select("row.*")
 
 
 ORACLE_SQL = f"""

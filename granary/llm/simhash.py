@@ -139,12 +139,11 @@ def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame
     fingerprint stays.
     """
     found = near_duplicates(docs, width, max_bits)
-    first = Window.orderBy(F.xxhash64(*(f"`{c}`" for c in docs.columns)))
     heads = found.where(F.col("doc_id") == F.col("component_id")).select("component_id").distinct()
-    named = docs.join(heads, F.col("doc_id") == F.col("component_id"), "left_semi")
-    named = named.withColumn("_rn", F.row_number().over(first.partitionBy("doc_id")))
     lone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
-    loose = with_fingerprint(docs.where(F.col("doc_id").isNull()), width).withColumnRenamed("fp", "_fp")
-    loose = loose.join(lone, F.col("_fp") == lone["fp"], "left_semi").withColumn("_rn", F.row_number().over(first.partitionBy("_fp")))
-    columns = [f"`{c}`" for c in docs.columns]
-    return named.where("_rn = 1").select(*columns).unionByName(loose.where("_rn = 1").select(*columns))
+    packed = docs.select(F.struct("*").alias("row"))
+    key, order = F.col("row.doc_id"), F.xxhash64("row")
+    named = packed.join(heads, key == F.col("component_id"), "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    loose = with_fingerprint(packed.where(key.isNull()).select("row", F.col("row.text").alias("text")), width)
+    loose = loose.join(lone, "fp", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("fp").orderBy(order)))
+    return named.where("n = 1").select("row.*").unionByName(loose.where("n = 1").select("row.*"))
