@@ -2,10 +2,11 @@
 
 Both scans read the documents where they lie; no text is shuffled. The first
 counts, over all documents, how many hold each n-gram of the benchmark. Each
-item's seeds are the rarer half of its n-grams: a rank, not a limit, so an
-item that is copied into very many documents keeps its seeds. The second scan
-joins documents to items by seeds and aligns, word by word, each item with the
-part of the document around its seeds.
+item's seeds are the rarer of its n-grams: a rank, not a limit, so an item
+that is copied into very many documents keeps its seeds. The second scan joins
+documents to items by seeds and aligns, word by word, each item with the part
+of the document around its seeds, where it holds two of them at least (one, of
+an item that has no more).
 
 The benchmark is taken in blocks of bounded size; each block is broadcast and
 costs the two scans.
@@ -39,6 +40,7 @@ class Block:
     widths: list[int]
     grams: dict[int, np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width: hashes (sorted), items, places
+    most: list[int]  # n-grams of each item
 
 
 def _fold(text: str | None) -> bytes:
@@ -50,7 +52,7 @@ def _block(rows: list[tuple[int | None, str | None]], width: int) -> Block:
     items = [hashes[a:b] for a, b in zip(first, first[1:])]
     widths = [min(width, len(x)) for x in items]
     grams = {w: np.unique(np.concatenate([_grams(x, w) for x, y in zip(items, widths) if y == w])) for w in {*widths} - {0}}
-    return Block(items, [i for i, _ in rows], widths, grams, {})
+    return Block(items, [i for i, _ in rows], widths, grams, {}, [len(x) - w + 1 for x, w in zip(items, widths)])
 
 
 def _grams(words: np.ndarray, width: int) -> np.ndarray:
@@ -159,6 +161,9 @@ def _matches(words: np.ndarray, first: np.ndarray, block: Block, least_score: fl
         slack = len(block.items[i]) // 2 + 2
         if b < hits.shape[1] and (hits[:2, b] == hits[:2, b - 1]).all() and hits[2, b] <= at + slack:
             continue
+        if b - a < min(2, block.most[i]):
+            a = b
+            continue
         low = max(int(first[d]), int(hits[2, a]) - slack)
         high = min(int(first[d + 1]), int(at) + len(block.items[i]) + slack)
         found, x, y = align(block.items[i], words[low:high])
@@ -180,7 +185,7 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Bloc
         yield _block(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r)), width)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 4, share: float = 0.5, least_seeds: int = 8, least_score: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share: float = 0.75, least_seeds: int = 8, least_score: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start_word, n_words): the pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) that align.
 
     Words are runs of letters and digits, in lower case. Seeds are n-grams of
@@ -213,7 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 4, share: f
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 4, share: float = 0.5, least_seeds: int = 8, least_score: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share: float = 0.75, least_seeds: int = 8, least_score: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, all columns, that :func:`contaminated` would not report. Decided row by row: an id's null or repetition doesn't matter."""
     spark = docs.sparkSession
     out = docs

@@ -1,0 +1,102 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+from granary.llm import decontam as D
+from granary.llm.words import hash_words
+
+
+def brute_align(item, text):
+    """Best local score by the textbook recurrence."""
+    h = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(text) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if item[i - 1] == text[j - 1] else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_matches_the_textbook_and_names_its_place():
+    rng = random.Random(5)
+    for _ in range(200):
+        item = [rng.randrange(5) for _ in range(rng.randint(1, 12))]
+        text = [rng.randrange(5) for _ in range(rng.randint(0, 25))]
+        score, start, end = D.align(np.array(item), np.array(text, dtype=np.int64))
+        assert score == brute_align(item, text)
+        assert brute_align(item, text[start:end]) == score
+
+
+def words(rng, n):
+    return [f"{rng.choice('bcdfg')}{rng.randrange(3000)}" for _ in range(n)]
+
+
+def corpus():
+    rng = random.Random(11)
+    common = "this is one of the things that we all know".split()
+    items = [(i, " ".join(common + words(rng, rng.randint(12, 50)))) for i in range(20)]
+    rows, planted = [], set()
+    for d in range(120):
+        text = words(rng, 60) + common + words(rng, 20)
+        if d % 3 == 0:
+            i = rng.randrange(20)
+            passage = items[i][1].split()
+            if d % 2:  # an edited copy: a tenth of the words replaced, dropped or doubled, other case and marks
+                passage = [x for w in passage for x in ([w.upper() + ","] if rng.random() > 0.1 else rng.choice([[], ["zz"], [w, w]]))]
+            at = rng.randint(0, len(text))
+            text[at:at] = passage
+            planted.add((d, i))
+        rows.append((d, " ".join(text)))
+    return items, rows, planted
+
+
+def test_planted_copies_are_found_and_nothing_else(spark):
+    items, rows, planted = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, benchmark).collect()}
+    # every pair by alignment alone
+    hashes, first = hash_words([D._fold(t) for _, t in rows])
+    asked, at = hash_words([D._fold(t) for _, t in items])
+    want = set()
+    for d in range(len(rows)):
+        for i in range(len(items)):
+            item = asked[at[i] : at[i + 1]]
+            if D.align(item, hashes[first[d] : first[d + 1]])[0] / len(item) >= 0.5:
+                want.add((d, i))
+    assert got == want == planted
+    kept = {r["doc_id"] for r in D.decontaminated(docs, benchmark).collect()}
+    assert kept == {d for d, _ in rows} - {d for d, _ in planted}
+
+
+def test_blocks_of_the_benchmark_change_nothing(spark):
+    items, rows, planted = corpus()
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, benchmark, block_bytes=900).collect()}
+    assert got == planted
+
+
+def test_an_item_in_every_document_keeps_its_seeds(spark):
+    items, rows, _ = corpus()
+    docs = spark.createDataFrame([(d, f"{t} {items[0][1]}") for d, t in rows], "doc_id long, text string")
+    got = D.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.where("item_id = 0").count() == len(rows)
+
+
+def test_nulls_empties_repeats_and_other_columns(spark):
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", 0), (None, "two words", 0), (3, None, 0), (4, "", 0), (5, " ,;! ", 0)], "item_id long, text string, score int")
+    rows = [(1, None), (2, ""), (3, "x Alpha, beta gamma delta (epsilon) zeta y"), (3, "x Alpha, beta gamma delta (epsilon) zeta y"), (None, "say two words"), (6, "!!"), (7, "plain " * 60_000)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, score string")
+    got = sorted((tuple(r) for r in D.contaminated(docs, benchmark).collect()), key=str)
+    assert got == sorted([(3, 1, 1.0, 1, 6), (3, 1, 1.0, 1, 6), (None, None, 1.0, 1, 2)], key=str)
+    kept = D.decontaminated(docs, benchmark)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6, 7]
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    none = spark.createDataFrame([], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    some = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    assert D.contaminated(empty, some).count() == D.contaminated(docs, none).count() == 0
+    assert D.decontaminated(docs, none).count() == 1 and D.decontaminated(empty, some).count() == 0
