@@ -46,7 +46,8 @@ def _running(rows: DataFrame, order: list[str], value: str, into: str) -> DataFr
     sums = rows.groupBy("sid", "part").agg(F.sum(value).alias("s"))
     starts = sums.select("sid", "part", (F.sum("s").over(over) - F.col("s")).alias("before"))
     within = rows.withColumns({"rn": F.row_number().over(inner), "within": F.sum(value).over(upto) - F.col(value)})
-    return within.join(starts, ["sid", "part"]).withColumn(into, F.col("before") + F.col("within")).drop("before", "within")
+    # Spark guesses exploded rows to be as few as those they come from, and would broadcast them: merge instead.
+    return within.join(starts.hint("merge"), ["sid", "part"]).withColumn(into, F.col("before") + F.col("within")).drop("before", "within")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -131,7 +132,7 @@ def mixed(docs: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     sources = written(targets(rows), "targets")
     parts = pieces(rows, sources, seed)
     slots = schedule(sources).withColumnRenamed("words", "room")
-    filled = parts.join(slots, ["sid", "k"], "left")
+    filled = parts.join(slots.hint("merge"), ["sid", "k"], "left")
     taken = filled.groupBy("sid", "part", "rn", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("turn").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"))
     return (
         filled.where(F.col("turn").isNotNull()).select("turn", "sid", "k", "doc_id", "words"),

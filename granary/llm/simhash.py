@@ -112,7 +112,7 @@ def linked(fps: DataFrame, max_bits: int = 2, dense: int = DENSE) -> DataFrame:
     flips = F.array(F.lit(0), *(F.lit(_signed(1 << i)) for i in range(64)))
     around = crowd.select("rep", F.explode(F.transform(flips, lambda f: F.col("fp").bitwiseXOR(f))).alias("key"))
     hubs = around.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
-    hubbed = around.join(hubs, "key").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    hubbed = around.join(hubs.hint("merge"), "key").where(F.col("rep") != F.col("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     return near.unionByName(hubbed)
 
 
