@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+
+from granary.llm import langid as L
+
+DOCS = "doc_id long, text string, lang string"
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = L.identified(docs).select("doc_id", L.held_out("doc_id").alias("out"), "lang", "lang_pred", "score").collect()
+    assert len(rows) == 1000
+    assert all(r["out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if r["out"]]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_kernel_is_the_share_of_common_n_grams():
+    a, b = "abca", "abd"
+    grams = lambda t: {f" {t} "[i : i + n] for n in (1, 2) for i in range(len(t) + 3 - n)}
+    p = L.presence([a, b, ""], (1, 2), 1 << 16)
+    x, y = grams(a), grams(b)
+    assert np.isclose(p[0] @ p[1], len(x & y) / np.sqrt(len(x) * len(y)))
+    assert np.isclose(p[0] @ p[0], 1)
+
+
+def train(spark):
+    en, de = "the cat and the dog went to the house of this man", "der hund und die katze gingen zu dem haus dieses mannes"
+    rows = [(i, f"{en if i % 2 else de} {i}", "en" if i % 2 else "de") for i in range(60)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_only_the_text_decides_and_reruns_agree(spark):
+    docs = train(spark)
+    first = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identified(docs).collect()}
+    again = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identified(docs.repartition(5)).collect()}
+    assert first == again and all(v[0] == ("en" if i % 2 else "de") for i, v in first.items())
+
+
+def test_undetermined_nulls_repeats_long_texts_and_other_columns(spark):
+    rows = [(100, None, "en"), (101, "", None), (102, " 12 +! ", "de"), (103, "the dog", None), (103, "the dog", None), (None, "und die katze", "de"), (104, "der hund und " * 20_000, None)]
+    docs = train(spark).unionByName(spark.createDataFrame(rows, DOCS)).selectExpr("*", "'x' AS score", "1 AS extra")
+    out = L.identified(docs)
+    assert out.columns == ["doc_id", "text", "lang", "extra", "lang_pred", "score"]
+    got = sorted(((r["doc_id"], r["lang_pred"]) for r in out.where("doc_id >= 100 OR doc_id IS NULL").collect()), key=str)
+    assert got == sorted([(100, "und"), (101, "und"), (102, "und"), (103, "en"), (103, "en"), (None, "de"), (104, "de")], key=str)
+
+
+def test_nothing_learnt_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, None, "en")], DOCS)
+    assert {r["lang_pred"] for r in L.identified(docs).collect()} == {"und"}
+    assert L.identified(spark.createDataFrame([], DOCS)).count() == 0
+    one = spark.createDataFrame([(i, "some words here", "en") for i in range(9)], DOCS)
+    assert {r["lang_pred"] for r in L.identified(one).collect()} == {"en"}

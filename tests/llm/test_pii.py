@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+from granary.llm import pii
+
+DOCS = "doc_id long, text string"
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def brute(text):
+    found = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")), "card": lambda: 16 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 8 <= len(digits) <= 15}[kind]()
+            if good:
+                found.append((kind, m.start(), m.end()))
+    return found
+
+
+def listed(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def check_base(spark, rows):
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted((tuple(r)[:6] for r in pii.report(docs).collect()), key=str)
+    want = []
+    for i, text in rows:
+        spans = brute(text)
+        want.append((i, *(sum(s[0] == k for s in spans) for k in BASE), hashlib.sha256(listed(spans).encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+
+
+def test_base_spans_of_a_whole_table(spark, sample):
+    check_base(spark, [(i, t) for i, t, *_ in sample])
+
+
+def test_base_spans_of_random_identifier_soup(spark):
+    rng = random.Random(2)
+    parts = ["a@b.co", "x.y+z@q-r.s.t", "@", "a@b", "1.2.3.4", "999.1.1.1", "0001.002.3.4.5.6.7.8", "255.255.255.255", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111112", "4111111111111111999", "79927398713", "+1 (555) 123-4567", "+12345678", "+1 2", "++1-2-3-4-5-6-7-8", "_", "é", "😀", " ", "\n", ".", "-", "7", "00", "text", "a@b.c_d@e.f"]
+    check_base(spark, [(i, "".join(rng.choice(parts) + rng.choice(["", " ", ""]) for _ in range(rng.randint(0, 30)))) for i in range(400)])
+
+
+def test_nulls_empties_long_texts_and_repeats(spark):
+    rows = [(1, None), (2, ""), (3, "1 " * 60_000), (4, "9" * 100_000), (5, "a" * 100_000 + "@"), (6, "+1" + " 2" * 50_000), (None, "a@b.cc"), (7, "a@b.cc"), (7, "a@b.cc"), (8, "u@v.ww " * 2_000)]
+    check_base(spark, rows)
+
+
+def test_patterns_discover_identifiers_and_leave_others_alone(spark):
+    rows = [(i, f"some words call me at +1 (555) 55{i % 10}-{1000 + i} or not") for i in range(12)]
+    rows += [(100, "please call me at (555) and later"), (101, "she may call me at 555-010-9{}88 today.".format(7)), (102, "the year 2024 and 30,000 more"), (103, "meet me at 1234567 sharp"), (104, "call me at noon2")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", spans string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    start = rows[13][1].index("555-010-9788")
+    assert got[101] == f"phone:{start}:{start + 12}"
+    assert got[100] == got[102] == got[103] == got[104] == ""
+    assert all(got[i] == listed(brute(t)) for i, t in rows[:12])
+
+
+def test_one_copied_passage_is_not_many_seeds(spark):
+    rows = [(i, "reach us under +1 (555) 555-1000 now") for i in range(30)] + [(50, "reach us under 555-010-9788 now")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[50] == ""
+
+
+def test_empty_table(spark):
+    out = pii.report(spark.createDataFrame([], DOCS))
+    assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] and out.count() == 0
