@@ -95,7 +95,8 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     """``docs`` with lang_pred and score (0 to 1) added, under ``names``, in the place of columns so named.
 
     The language of the highest regression value; ties go to the first by
-    name. score is the softmax of the values, sharpened, at that language.
+    name. score is the softmax of the values, sharpened, at that language, to six
+    places: beyond them it depends on which texts share a batch.
     A null text, a text without a letter, or a model that has learnt no
     language gives ``und`` with score 0. Whole texts are read. Only ``text``
     is looked at; all other columns pass through, repeated rows too.
@@ -119,7 +120,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
                     soft = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
                     top = 1 / soft.sum(axis=1)
                     for i, k, s in zip(good, best, top):
-                        langs[i], scores[i] = m.languages[k], float(s)
+                        langs[i], scores[i] = m.languages[k], round(float(s), 6)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)

@@ -76,7 +76,7 @@ def _placed(text: Column, matches: Column, pattern: str) -> Column:
         start = (acc["at"] + F.length(p["gap"])).cast("int")
         end = (start + F.length(p["match"])).cast("int")
         span = F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"), p["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).cast(_SPANS).alias("spans"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
     return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(empty)
@@ -84,7 +84,7 @@ def _placed(text: Column, matches: Column, pattern: str) -> Column:
 
 def _spans(i: int, kind: str) -> Column:
     valid = F.filter(kind, lambda s: _valid(kind, s["match"]))
-    return F.transform(valid, lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(valid, lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
 
 
 def _count(i: int, kind: str) -> Column:
@@ -92,7 +92,7 @@ def _count(i: int, kind: str) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, words): per row of ``docs``, spans (kind, start, end) of the base patterns by kind and start, and its identifier-like words (start, word, left)."""
+    """(row, doc_id, base, words): per row of ``docs``, spans (kind, start, end, match) of the base patterns by kind and start, and its identifier-like words (start, word, left)."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.expr("cast(array() as array<string>)")
     matches = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
@@ -105,7 +105,7 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(row, start, end, word, kind, contexts) per identifier-like word: trimmed of punctuation, with the kind of the base span that begins in it (null: none). Words inside a base span that begins earlier are left out."""
+    """(row, start, end, word, kind, contexts) per identifier-like word: trimmed of punctuation; where a base span begins in it, that span's text and kind (else null). Words inside a base span that begins earlier are left out."""
     one = rows.select("row", "base", F.explode("words").alias("w")).select("row", "base", "w.*")
     lead, trail = F.length(F.regexp_extract("word", _OPENING, 0)), F.length(F.regexp_extract("word", _CLOSING, 0))
     start = F.col("start") + lead
@@ -116,7 +116,8 @@ def occurrences(rows: DataFrame) -> DataFrame:
     near, far = F.regexp_extract("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1), F.regexp_extract("left", r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     contexts = F.filter(F.array(near, F.regexp_replace(far, r"[\x20\x09-\x0D]+", " ")), lambda c: c != "")
     kind = F.when(F.size("over") > 0, F.element_at(F.transform("over", lambda s: s["kind"]), 1))
-    return one.select("row", "start", "end", "word", kind.alias("kind"), F.array_distinct(contexts).alias("contexts"))
+    word = F.when(F.size("over") > 0, F.element_at(F.transform("over", lambda s: s["match"]), 1)).otherwise(F.col("word"))
+    return one.select("row", "start", "end", word.alias("word"), kind.alias("kind"), F.array_distinct(contexts).alias("contexts"))
 
 
 def patterns(seen: DataFrame, rounds: int = 3, least_score: float = 0.7, least_seeds: int = 5, doubt: float = 1.0) -> DataFrame:
@@ -157,10 +158,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     have no spans; null ids and repeated rows stay; other columns are ignored.
     """
     rows = written(found(docs), "found")
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     seen = written(occurrences(rows), "words")
     more = discovered(seen, patterns(seen)).groupBy("row").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("more"))
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)"))))
-    return rows.select("row", "doc_id", "base").join(more, "row", "left").select("doc_id", "base", spans.alias("spans"))
+    spans = F.array_sort(F.concat(base, F.coalesce("more", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)"))))
+    return rows.select("row", "doc_id", "base").join(more, "row", "left").select("doc_id", base.alias("base"), spans.alias("spans"))
 
 
 def _listed(spans: Column) -> Column:

@@ -61,7 +61,7 @@ def test_nulls_empties_long_texts_and_repeats(spark):
 
 def test_patterns_discover_identifiers_and_leave_others_alone(spark):
     rows = [(i, f"some words call me at +1 (555) 55{i % 10}-{1000 + i} or not") for i in range(12)]
-    rows += [(100, "please call me at (555) and later"), (101, "she may call me at 555-010-9{}88 today.".format(7)), (102, "the year 2024 and 30,000 more"), (103, "meet me at 1234567 sharp"), (104, "call me at noon2")]
+    rows += [(100, "please call me at (555) and later"), (101, "she may call me at 555-010-9{}88 today.".format(7)), (102, "the year 2024 and 30,000 more"), (103, "weighs about 1234567 grams"), (104, "call me at noon2")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", spans string")
     got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
     start = rows[13][1].index("555-010-9788")
