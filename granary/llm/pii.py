@@ -9,13 +9,13 @@ seeds keep score one. Patterns that end above a threshold, with enough
 different seeds, mark what else follows them: spans that no base pattern finds.
 
 All of it is DataFrame operations. Positions come from cutting a text at a
-pattern: the pieces between the matches and the matches alternate, so their
-lengths add up to where each match stands.
+pattern: the pieces between the matches and the matches alternate, so the
+running sum of their lengths is where each match stands.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.scratch import written
@@ -39,7 +39,8 @@ INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*+[0-9@+][^\x20\x09-\x0D]
 SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9A-Fa-f]*([.:][0-9A-Fa-f]*){3,7}$", "card": r"^([^0-9]*[0-9]){12,19}[^0-9]*$", "phone": r"^[+(]?([^0-9A-Za-z]*[0-9]){7,15}$"}
 _OPENING, _CLOSING = r"^[\"'(\[<{]*", r"[\"')\]>}.,;:!?]*$"
 _LEFT_CHARS = 80
-_SPANS = "array<struct<start: int, end: int, match: string, gap: string>>"
+_PAIRS = "array<struct<kind: int, match: string, skip: int, left: string>>"
+_BASE = "array<struct<kind: int, start: int, end: int, match: string>>"
 
 
 def _digits(match: Column) -> Column:
@@ -67,46 +68,45 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _placed(text: Column, matches: Column, pattern: str) -> Column:
-    """Spans (start, end, match, gap) of ``matches``, which are all of the pattern in the text; in code points, gap the text since the match before."""
-    empty = F.expr(f"cast(array() as {_SPANS})")
-    pairs = F.zip_with(matches, F.slice(F.split(text, pattern, -1), 1, F.size(matches)), lambda m, gap: F.struct(m.alias("match"), gap.alias("gap")))
+def _pairs(kind: int, text: Column, matches: Column, pattern: str) -> Column:
+    """(kind, match, skip, left) of ``matches``, all of the pattern's in the text: skip is how far a match stands from the end of the one before, left the last characters between."""
+    between = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = (acc["at"] + F.length(p["gap"])).cast("int")
-        end = (start + F.length(p["match"])).cast("int")
-        span = F.struct(start.alias("start"), end.alias("end"), p["match"].alias("match"), p["gap"].alias("gap"))
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
+    def pair(match: Column, gap: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), match.alias("match"), F.length(gap).alias("skip"), F.lower(F.substring(gap, -_LEFT_CHARS, _LEFT_CHARS)).alias("left"))
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(empty)
-
-
-def _spans(i: int, kind: str) -> Column:
-    valid = F.filter(kind, lambda s: _valid(kind, s["match"]))
-    return F.transform(valid, lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
-
-
-def _count(i: int, kind: str) -> Column:
-    return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+    return F.when(F.size(matches) > 0, F.zip_with(matches, between, pair)).otherwise(F.expr(f"cast(array() as {_PAIRS})"))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, words): per row of ``docs``, spans (kind, start, end, match) of the base patterns by kind and start, and its identifier-like words (start, word, left)."""
+    """(row, doc_id, pairs): per row of ``docs`` all matches of the base patterns and, as kind 4, its identifier-like words."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.expr("cast(array() as array<string>)")
     matches = {k: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for k, p in PATTERNS.items()}
     matches = {k: F.when(F.contains("text", F.lit(HINTS[k])), m).otherwise(none) if HINTS[k] else m for k, m in matches.items()}
     texts = texts.withColumns({**matches, "word": F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0))})
-    texts = texts.withColumns({k: _placed(F.col("text"), F.col(k), p) for k, p in (*PATTERNS.items(), ("word", INSTANCE))})
-    base = [_spans(i, k) for i, k in enumerate(KINDS)]
-    words = F.transform("word", lambda s: F.struct(s["start"].alias("start"), s["match"].alias("word"), F.lower(F.substring(s["gap"], -_LEFT_CHARS, _LEFT_CHARS)).alias("left")))
-    return texts.select("row", "doc_id", F.concat(*base).alias("base"), words.alias("words"))
+    pairs = [_pairs(i, F.col("text"), F.col(k), p) for i, (k, p) in enumerate((*PATTERNS.items(), ("word", INSTANCE)))]
+    return texts.select("row", "doc_id", F.concat(*pairs).alias("pairs"))
+
 
+def located(rows: DataFrame) -> DataFrame:
+    """(row, kind, start, end, match, left) per match of :func:`found`; in code points. A running sum over one text's matches of a kind."""
+    order = Window.partitionBy("row", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = rows.select("row", F.posexplode("pairs").alias("pos", "p")).select("row", "pos", "p.*")
+    end = F.sum(F.col("skip") + F.length("match")).over(order).cast("int")
+    return each.withColumn("end", end).select("row", "kind", (F.col("end") - F.length("match")).alias("start"), "end", "match", "left")
 
-def occurrences(rows: DataFrame) -> DataFrame:
+
+def base_spans(places: DataFrame) -> DataFrame:
+    """(row, base): the spans (kind, start, end, match) of the base patterns that count, by kind and start, of each row that has any."""
+    valid = F.coalesce(*(F.when(F.col("kind") == i, _valid(k, F.col("match"))) for i, k in enumerate(KINDS)), F.lit(False))
+    return places.where(F.col("kind") < len(KINDS)).where(valid).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "match"))).alias("base"))
+
+
+def occurrences(places: DataFrame, base: DataFrame) -> DataFrame:
     """(row, start, end, word, kind, contexts) per identifier-like word: trimmed of punctuation; where a base span begins in it, that span's text and kind (else null). Words inside a base span that begins earlier are left out."""
-    one = rows.select("row", "base", F.explode("words").alias("w")).select("row", "base", "w.*")
+    words = places.where(F.col("kind") == len(KINDS)).select("row", "start", F.col("match").alias("word"), "left")
+    one = words.join(base, "row", "left").withColumn("base", F.coalesce("base", F.expr(f"cast(array() as {_BASE})")))
     lead, trail = F.length(F.regexp_extract("word", _OPENING, 0)), F.length(F.regexp_extract("word", _CLOSING, 0))
     start = F.col("start") + lead
     end = F.greatest(start, F.col("start") + F.length("word") - trail)
@@ -158,11 +158,14 @@ def personal_data(docs: DataFrame) -> DataFrame:
     have no spans; null ids and repeated rows stay; other columns are ignored.
     """
     rows = written(found(docs), "found")
-    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    seen = written(occurrences(rows), "words")
+    places = written(located(rows), "places")
+    base = written(base_spans(places), "base")
+    seen = written(occurrences(places, base), "words")
     more = discovered(seen, patterns(seen)).groupBy("row").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("more"))
-    spans = F.array_sort(F.concat(base, F.coalesce("more", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)"))))
-    return rows.select("row", "doc_id", "base").join(more, "row", "left").select("doc_id", base.alias("base"), spans.alias("spans"))
+    none = F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)")
+    plain = F.coalesce(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), none)
+    every = rows.select("row", "doc_id").join(base, "row", "left").join(more, "row", "left")
+    return every.select("doc_id", plain.alias("base"), F.array_sort(F.concat(plain, F.coalesce("more", none))).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -170,6 +173,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(i: int, kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{kind}")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts and digest of the base spans, and all spans as text."""
     counts = [_count(i, k) for i, k in enumerate(KINDS)]
