@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.components import connected_components
 from granary.llm.scratch import written
+from granary.llm.shingle_sets import alike, sketches
 
 _LOW = 0x5555555555555555
 _BITS = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
@@ -132,13 +133,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataF
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each component, with all columns of ``docs``: that of the smallest doc_id; of several, the first by a hash of the row.
+def near_copies(docs: DataFrame, width: int = 3, max_bits: int = 2, set_width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) like :func:`near_duplicates`, linked also by like sets of ``set_width``-word shingles.
+
+    A copy with words changed here and there differs in more bits than a grid
+    can join; texts whose sets' Jaccard similarity is ``similarity`` at least
+    are linked as well. Rows with a null doc_id are in the component of their
+    fingerprint, or else of their equal set, and never name one.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = written(sketches(with_fingerprint(texts, width).select("doc_id", "fp", "text"), set_width), "profiles")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    same = rows.select("doc_id", "fp").join(distinct, "fp").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    near = linked(distinct.where(F.col("rep").isNotNull()), max_bits)
+    roots = connected_components(near.unionByName(same).unionByName(alike(texts, rows.drop("fp"), set_width, similarity)))
+    by_set = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("set_rep"))
+    loose = rows.where(F.col("doc_id").isNull()).select("doc_id", "fp", "key").join(distinct, "fp", "left").join(by_set, "key", "left")
+    placed = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "fp", F.col("doc_id").alias("at"))
+    placed = placed.unionByName(loose.select("doc_id", "fp", F.coalesce("rep", "set_rep").alias("at")))
+    return placed.join(roots, F.col("at") == F.col("node"), "left").select("doc_id", "fp", F.coalesce("root", "at").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2, similarity: float | None = None) -> DataFrame:
+    """One row of each component of :func:`near_copies` (without ``similarity``, of :func:`near_duplicates`), with all columns of ``docs``: that of the smallest doc_id; of several, the first by a hash of the row.
 
     A component without any doc_id has no name: of such rows one of each
     fingerprint stays.
     """
-    found = near_duplicates(docs, width, max_bits)
+    found = near_duplicates(docs, width, max_bits) if similarity is None else near_copies(docs, width, max_bits, similarity=similarity)
     heads = found.where(F.col("doc_id") == F.col("component_id")).select("component_id").distinct()
     lone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
     packed = docs.select(F.struct("*").alias("row"))

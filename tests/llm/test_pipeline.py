@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 from test_mixing import brute_targets
-from test_simhash import brute_components, brute_fingerprint
+from test_simhash import brute_copies
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -27,8 +27,7 @@ def test_stages_match_brute_force(spark):
 
     kept = stages["simhash_near_dedup"](spark, docs, SF)
     assert kept.columns == docs.columns
-    fps = {i: brute_fingerprint(r["text"]) for i, r in everything.items()}
-    roots = brute_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    roots = brute_copies({i: r["text"] for i, r in everything.items()})
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
 
     kept = stages["benchmark_decontamination"](spark, docs, SF)

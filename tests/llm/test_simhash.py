@@ -5,7 +5,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from granary.llm import simhash
+from granary.llm import shingle_sets, simhash
 from granary.llm.components import connected_components
 
 
@@ -44,6 +44,42 @@ def test_whole_table_matches_brute_force(spark, sample):
     assert got == {i: (signed(fps[i]), roots[i]) for i in fps}
 
 
+def brute_set(text, width=5):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def brute_copies(texts):
+    """Components by two bits of the fingerprint or a similarity of 0.8 of the sets."""
+    fps, sets = {i: brute_fingerprint(t) for i, t in texts.items()}, {i: brute_set(t) for i, t in texts.items()}
+    return brute_components(sorted(texts), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 or (len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0))
+
+
+def test_near_copies_match_brute_force(spark, sample):
+    texts = {i: t for i, t, *_ in sample}
+    rng = random.Random(8)
+    for i, t in [(i, t) for i, t in texts.items() if len(t.split()) > 60][:40]:
+        for j, every in enumerate((300, 150, 90, 40, 12)):  # similarities from about 0.97 down to 0.4
+            words = t.split()
+            for k in range(rng.randrange(every), len(words), every):
+                words[k] = f"w{rng.randrange(10**6)}"
+            texts[100_000 + 10 * i + j] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_copies(texts)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs, similarity=0.8).collect()) == sorted(set(want.values()))
+    plain = simhash.near_duplicates(docs).select("component_id").distinct().count()
+    assert len(set(want.values())) < plain < len(texts)
+
+
+def test_sets_of_short_and_empty_texts(spark):
+    rows = [(1, "a b"), (2, "A  b\n"), (3, "b a"), (4, ""), (5, None), (6, " \t"), (7, "a b c d e"), (8, "a b c d e"), (None, "a b"), (7, "a b c d e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    edges = shingle_sets.alike(docs, shingle_sets.sketches(docs)).collect()
+    assert sorted(tuple(r) for r in edges) == [(2, 1), (8, 7)]
+    assert shingle_sets.alike(docs.limit(0), shingle_sets.sketches(docs.limit(0))).count() == 0
+
+
 def test_pairs_within_two_bits_meet_in_sparse_and_dense_cells(spark):
     rng = random.Random(3)
     centres = [rng.getrandbits(64) for _ in range(12)]
@@ -65,8 +101,9 @@ def test_pairs_within_two_bits_meet_in_sparse_and_dense_cells(spark):
 def test_nulls_empties_ties_and_repeats(spark):
     rows = [(5, None, 1), (3, "", 2), (9, " \t ", 3), (2, "one", 4), (2, "one", 4), (None, "one", 5), (None, "lone words here now", 6), (7, "a b c " * 50_000, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("component_id", F.lit("x"))
-    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
-    assert got == sorted([(5, 3), (3, 3), (9, 3), (2, 2), (2, 2), (None, 2), (None, None), (7, 7)], key=str)
+    for find in (simhash.near_duplicates, simhash.near_copies):
+        got = sorted(((r["doc_id"], r["component_id"]) for r in find(docs).collect()), key=str)
+        assert got == sorted([(5, 3), (3, 3), (9, 3), (2, 2), (2, 2), (None, 2), (None, None), (7, 7)], key=str)
 
 
 def test_empty_table(spark):
