@@ -142,7 +142,7 @@ def near_copies(docs: DataFrame, width: int = 3, max_bits: int = 2, set_width: i
     fingerprint, or else of their equal set, and never name one.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(sketches(with_fingerprint(texts, width).select("doc_id", "fp", "text"), set_width), "profiles")
+    rows = written(sketches(texts, set_width, {"fp": partial(fingerprint, width=width)}), "profiles")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     same = rows.select("doc_id", "fp").join(distinct, "fp").where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     near = linked(distinct.where(F.col("rep").isNotNull()), max_bits)
