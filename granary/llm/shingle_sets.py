@@ -3,10 +3,10 @@
 Two sets share the minimum of a random order of shingles with a chance of
 their Jaccard similarity J. Of 120 such minima, 20 bands of 6 name a cell
 each: at J = 0.8 a pair meets with a chance of 0.998, at 0.9 of 0.9999999. In a
-cell every member is paired with the least and the greatest member, so pairs
-stay linear in the members however many copies there are, and copies of one
-text stay connected through either end. Every pair is then decided by its two
-whole sets.
+cell every member is paired with the least and the greatest member first, which
+connects most copies by linearly many pairs. Then all other pairs of a cell
+are tried whose members these links haven't connected yet. Every pair is
+decided by its two whole sets.
 
 Texts with equal sets are one member: the smallest doc_id stands for them.
 """
@@ -20,11 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.components import connected_components
 from granary.llm.scratch import written
 from granary.llm.words import hash_words, mixed, powers, windows
 
 BANDS, ROWS = 20, 6
 _LUMP = 1 << 18
+#: Members of a cell that are joined with as many others in one group; a larger cell is dealt into several such groups.
+_CROWD = 512
 _ODD = powers(0xA24BAED4963EE407, BANDS * ROWS + 1)[1:]
 _STEP = powers(0x9FB21C651E98DF25, ROWS)
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -88,8 +91,34 @@ def sketches(docs: DataFrame, width: int = 5, also: dict[str, Callable[[bytes],
     return _mapped(docs, width, added, lambda text, shingles: (*_sketch(shingles), *(f(text) for f in more.values())))
 
 
+def _near(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets have the similarity."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = written(_mapped(texts, width, {"shingles": "array<long>"}, lambda _, shingles: (shingles.view(np.int64),)), "shingles")
+    a, b = sets.toDF("a", "sa").hint("merge"), sets.toDF("b", "sb").hint("merge")
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = pairs.join(b, "b").join(a, "a").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
+    return written(near.select("a", "b").distinct(), "near")
+
+
+def _unconnected(crowded: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) within a cell of ``crowded`` (m, band, cell) that ``links`` don't connect and whose sizes allow the similarity."""
+    roots = connected_components(links)
+    placed = crowded.join(roots, F.col("m.id") == F.col("node"), "left").select("band", "cell", F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.coalesce("root", "m.id").alias("root"))
+    open_cells = placed.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 < r1")
+    dealt = placed.join(open_cells.select("band", "cell", F.ceil(F.col("members") / _CROWD).alias("k")).hint("merge"), ["band", "cell"])
+    dealt = written(dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.col("k"))), "crowds")
+    side = lambda i, j, by: dealt.select("band", "cell", i, j, F.struct("id", "n", "root").alias(by))
+    x = side(F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"), "x")
+    y = side(F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"), "y")
+    met = x.hint("merge").join(y, ["band", "cell", "i", "j"]).where("(i < j OR x.id < y.id) AND x.root != y.root")
+    met = met.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def alike(docs: DataFrame, sketched: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Edges (a, b) between doc_ids of ``docs`` (doc_id, text) whose sets' Jaccard similarity is ``similarity`` at least.
+    """Edges (a, b) between doc_ids of ``docs`` (doc_id, text) whose sets' Jaccard similarity is ``similarity`` at least: as many as connect all that such pairs of a cell connect.
 
     ``sketched`` is :func:`sketches` of the same rows, doc_id kept. Texts of equal sets are
     linked to the smallest doc_id among them, which alone meets others. Texts
@@ -101,15 +130,15 @@ def alike(docs: DataFrame, sketched: DataFrame, width: int = 5, similarity: floa
     same = written(same.select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("cells")).alias("cells")), "sets")
     member = F.struct(F.col("doc_id").alias("id"), "n").alias("m")
     entered = same.where("cells IS NOT NULL").select(member, F.posexplode("cells").alias("band", "cell"))
-    ends = entered.groupBy("band", "cell").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo.id < hi.id")
-    met = entered.join(ends.hint("merge"), ["band", "cell"])
-    met = met.select("m", F.explode(F.array("lo", "hi")).alias("o")).where("m.id != o.id")
+    ends = entered.groupBy("band", "cell").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count_distinct("m.id").alias("members")).where("members > 1")
+    crowded = written(entered.distinct().join(ends.hint("merge"), ["band", "cell"]), "crowded")
+    met = crowded.select("m", F.explode(F.array("lo", "hi")).alias("o")).where("m.id != o.id")
     met = met.where(F.least("m.n", "o.n") >= similarity * F.greatest("m.n", "o.n"))
     pairs = written(met.select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct(), "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = written(_mapped(texts, width, {"shingles": "array<long>"}, lambda _, shingles: (shingles.view(np.int64),)), "shingles")
-    a, b = sets.toDF("a", "sa").hint("merge"), sets.toDF("b", "sb").hint("merge")
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = pairs.join(b, "b").join(a, "a").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
+    near = _near(docs, pairs, width, similarity)
+    crowded = crowded.where("members > 3").select("m", "band", "cell")  # of three all pairs have met
+    if not crowded.isEmpty():
+        rest = written(_unconnected(crowded, near, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            near = near.unionByName(_near(docs, rest, width, similarity))
     return near.select("a", "b").unionByName(same.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).distinct()

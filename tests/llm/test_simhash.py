@@ -72,6 +72,25 @@ def test_near_copies_match_brute_force(spark, sample):
     assert len(set(want.values())) < plain < len(texts)
 
 
+def test_copies_that_meet_only_through_a_text_with_a_middle_id(spark):
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(300)]
+    texts = {500: " ".join(base)}
+    for i in (i for i in range(1001) if i != 500):
+        words = list(base)
+        for k in rng.sample(range(2, 298, 5), 6):  # six words five apart or more: a similarity of 0.816 to the base, less to each other
+            words[k] = f"e{i}x{k}"
+        texts[i] = " ".join(words)
+    sets = {i: brute_set(t) for i, t in texts.items()}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(alike(500, i) for i in texts) and not any(alike(i, j) for i in (0, 1000) for j in range(1, 1000) if j != 500)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    edges = shingle_sets.alike(docs, shingle_sets.sketches(docs))
+    roots = {r["node"]: r["root"] for r in connected_components(edges).collect()}
+    # a pair shares a band with a chance of 0.9992, so nearly every copy is linked
+    assert sum(roots.get(i) == roots[500] for i in texts) >= 995
+
+
 def test_sets_of_short_and_empty_texts(spark):
     rows = [(1, "a b"), (2, "A  b\n"), (3, "b a"), (4, ""), (5, None), (6, " \t"), (7, "a b c d e"), (8, "a b c d e"), (None, "a b"), (7, "a b c d e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
