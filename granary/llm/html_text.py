@@ -15,10 +15,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # HTML's tag names, by what they mean for a block.
@@ -35,13 +35,17 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
+_LANG = re.compile(r'<html[^>]*\slang="?([a-z]{2})', re.I)
+#: Counted words that a task holds before it hands them on.
+_HELD = 1 << 17
 
 
 @dataclass
 class Rules:
-    """Thresholds of the first pass, and the stop words."""
+    """Thresholds of the first pass, the stop words, and the language tags that they were learnt for."""
 
     stop_words: frozenset[str] = frozenset()
+    languages: frozenset[str] = frozenset()
     link_density: float = 0.5
     short: int = 40
     long: int = 140
@@ -144,15 +148,27 @@ def first_pass(block: Block, rules: Rules) -> str:
         return "?" if heading or n < rules.short else "good"
     if heading or n < rules.short:
         return "?"
-    words = block.text.lower().split()
-    stops = sum(w in rules.stop_words for w in words) / len(words)
+    stops = _share(block, rules)
     if stops >= rules.stop_high or not rules.stop_words:
         return "good" if n > rules.long else "?"
     return "?" if stops >= rules.stop_low else "bad"
 
 
+def _language(page: str) -> str:
+    tag = _LANG.search(page)
+    return tag[1].lower() if tag else ""
+
+
+def _share(block: Block, rules: Rules) -> float:
+    words = block.text.lower().split()
+    return sum(w in rules.stop_words for w in words) / len(words)
+
+
 def main_text(page: str, rules: Rules) -> str:
     found = blocks(page)
+    if not (tag := _language(page)) or tag not in rules.languages:
+        if all(_share(b, rules) < rules.stop_low for b in found if len(b.text) >= rules.short):
+            rules = replace(rules, stop_words=frozenset())  # a language that none were learnt of: length and links decide
     any_article = any(b.inside for b in found)
     for b in found:
         b.label = "bad" if any_article and not b.inside else first_pass(b, rules)
@@ -176,20 +192,31 @@ def main_text(page: str, rules: Rules) -> str:
     return "\n\n".join(b.text for b, k in zip(found, keep) if k)
 
 
-def stop_words(pages: DataFrame, share: float = 0.3, sample_pages: int = 500) -> frozenset[str]:
-    """Words that at least ``share`` of the pages hold among a bounded sample: the ``sample_pages`` pages whose hashed html comes first, as many for each value of the page's own language tag as fit."""
-    rows = pages.where(F.length("html") > 0).select(F.regexp_extract("html", r'(?i)<html[^>]*\slang="?([a-z]{2})', 1).alias("lang"), F.xxhash64("html").alias("h"), F.pmod(F.xxhash64("html"), F.lit(64)).alias("salt"), "html")
-    few = rows.groupBy("lang", "salt").agg(F.min(F.struct("h", "html")).alias("x"))
-    found = few.orderBy("x.h").limit(sample_pages).select("lang", F.substring("x.html", 1, 40_000).alias("html")).collect()
-    out: set[str] = set()
-    for lang in {r["lang"] for r in found}:
-        sets = [{w for b in blocks(r["html"]) for w in b.text.lower().split()} for r in found if r["lang"] == lang]
-        counts: dict[str, int] = {}
-        for s in sets:
-            for w in s:
-                counts[w] = counts.get(w, 0) + 1
-        out |= {w for w, c in counts.items() if c >= max(2, share * len(sets)) and w.isalpha() and len(w) <= 6}
-    return frozenset(out)
+def stop_words(pages: DataFrame, share: float = 0.3) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of up to six letters that at least ``share`` of all pages with the same language tag hold, two pages at least, counted over whole pages; and the tags that have any. Pages without a tag are one group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = {}
+
+        def counted() -> pa.RecordBatch:
+            columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
+
+        for batch in batches:
+            for page in batch.column(0):
+                lang = _language(page := page.as_py())
+                words = {w for b in blocks(page) for w in b.text.lower().split() if len(w) <= 6 and w.isalpha()}
+                for w in (*words, ""):  # the empty word counts the pages
+                    counts[lang, w] = counts.get((lang, w), 0) + 1
+                if len(counts) > _HELD:
+                    yield counted()
+                    counts.clear()
+        yield counted()
+
+    found = pages.where(F.length("html") > 0).select("html").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("lang"))
+    kept = found.where("n > 1").withColumn("pages", total).where((F.col("word") != "") & (F.col("n") >= share * F.col("pages"))).select("lang", "word").collect()
+    return frozenset(r["word"] for r in kept), frozenset(r["lang"] for r in kept)
 
 
 def extracted(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -199,7 +226,7 @@ def extracted(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     stay; a column that is called text already is replaced; an empty table
     gives no rows. Without ``rules`` the stop words are learnt from the pages.
     """
-    rules = rules or Rules(stop_words=stop_words(pages))
+    rules = rules or Rules(*stop_words(pages))
     shared = pages.sparkSession.sparkContext.broadcast(rules)
     kept = pages.select(*(c for c in pages.columns if c not in ("text", "html")), "html")
     names = kept.columns[:-1]

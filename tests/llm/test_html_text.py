@@ -67,3 +67,15 @@ def test_nulls_empties_repeats_and_other_columns(spark):
 def test_empty_table(spark):
     out = H.extracted(spark.createDataFrame([], PAGES))
     assert out.columns == ["page_id", "url", "text"] and out.count() == 0
+
+
+def test_stop_words_come_from_whole_pages_and_unlearnt_languages_keep_their_text(spark):
+    late = f"<html lang=en><body>{'<div>x</div>' * 5000}<p>{PROSE}</p></body></html>"  # the prose begins after 40,000 characters
+    other = "Kaupungin historia ulottuu vuosisatojen taakse, mutta talot kukkulalla rakennettiin vanhoina aikoina joen kivistä ja puusta, ennen kuin tie valmistui kaupunkiin."
+    rare = f"<body><div>Valikko</div><p>{other}</p></body>"  # no tag, and one page only of its language among untagged ones
+    rows = [(i, "u", late) for i in range(4)] + [(10 + i, "u", f"<body><p>{i} {PROSE}</p></body>") for i in range(9)] + [(50, "u", rare)]
+    pages = spark.createDataFrame(rows, PAGES)
+    words, tags = H.stop_words(pages.where("page_id < 4"))
+    assert {"the", "of"} <= words and tags == {"en"}
+    got = {r["page_id"]: r["text"] for r in H.extracted(pages).collect()}
+    assert other in got[50] and all(PROSE in got[i] for i in range(4))
