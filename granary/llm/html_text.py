@@ -5,9 +5,10 @@ never hold the article (menus, headers, footers, sidebars, forms, scripts,
 adverts, notices, reader comments: by tag, role, or a word of class or id) are
 out at once. The first pass decides the rest by their own figures: link
 density, length, and density of stop words, which are learnt as the words that
-very many blocks hold. Short blocks may stay undecided. In the second pass an
+very many pages hold; in an article or main element less is asked for. Short blocks may stay undecided. In the second pass an
 undecided block takes the label of its nearest decided neighbours: kept
-between two good ones, or next to a good one nearer than any bad one.
+between two good ones, or next to a good one nearer than any bad one. Labels
+aren't handed across an article's border, which counts as good inside.
 """
 
 from __future__ import annotations
@@ -144,11 +145,11 @@ def first_pass(block: Block, rules: Rules) -> str:
     if block.linked / n > rules.link_density:
         return "bad"
     heading = re.fullmatch("h[1-6]", block.tag) is not None
-    if block.inside:  # the page itself says that this is the article
-        return "?" if heading or n < rules.short else "good"
     if heading or n < rules.short:
         return "?"
     stops = _share(block, rules)
+    if block.inside:  # the page itself says that this is the article: less length and fewer stop words tell
+        return "good" if stops >= rules.stop_low or not rules.stop_words else "?"
     if stops >= rules.stop_high or not rules.stop_words:
         return "good" if n > rules.long else "?"
     return "?" if stops >= rules.stop_low else "bad"
@@ -169,27 +170,34 @@ def main_text(page: str, rules: Rules) -> str:
     if not (tag := _language(page)) or tag not in rules.languages:
         if all(_share(b, rules) < rules.stop_low for b in found if len(b.text) >= rules.short):
             rules = replace(rules, stop_words=frozenset())  # a language that none were learnt of: length and links decide
-    any_article = any(b.inside for b in found)
     for b in found:
-        b.label = "bad" if any_article and not b.inside else first_pass(b, rules)
+        b.label = first_pass(b, rules)
+    good = {id(b) for side in (True, False) for b in _second_pass([b for b in found if b.inside is side])}
+    if not good:  # nothing but short blocks: those that the page calls the article
+        good = {id(b) for b in found if b.inside and b.label == "?"}
+    return "\n\n".join(b.text for b in found if id(b) in good)
+
+
+def _second_pass(found: list[Block]) -> list[Block]:
+    """The good blocks of ``found``: the article's or the others, so that labels aren't handed across its border."""
     n = len(found)
     before: list[tuple[str, int]] = []
-    last = ("bad", -1)
+    edge = "good" if n and found[0].inside and any(b.label == "good" for b in found) else "bad"
+    last = (edge, -1)
     for i, b in enumerate(found):
         before.append((last[0], i - last[1]))
         if b.label != "?":
             last = (b.label, i)
     keep = [b.label == "good" for b in found]
-    last = ("bad", n)
+    last = (edge, n)
     for i in range(n - 1, -1, -1):
         b = found[i]
         if b.label != "?":
             last = (b.label, i)
             continue
         (left, near), (right, far) = before[i], (last[0], last[1] - i)
-        inside = b.inside and b.linked / len(b.text) <= rules.link_density
-        keep[i] = inside or left == right == "good" or left != right and (near <= far if left == "good" else far <= near)
-    return "\n\n".join(b.text for b, k in zip(found, keep) if k)
+        keep[i] = left == right == "good" or left != right and (near <= far if left == "good" else far <= near)
+    return [b for b, k in zip(found, keep) if k]
 
 
 def stop_words(pages: DataFrame, share: float = 0.3) -> tuple[frozenset[str], frozenset[str]]:

@@ -79,3 +79,14 @@ def test_stop_words_come_from_whole_pages_and_unlearnt_languages_keep_their_text
     assert {"the", "of"} <= words and tags == {"en"}
     got = {r["page_id"]: r["text"] for r in H.extracted(pages).collect()}
     assert other in got[50] and all(PROSE in got[i] for i in range(4))
+
+
+def test_an_article_element_is_a_feature_and_no_switch():
+    teaser = "<article><h3><a href=\"/x\">Another story</a></h3><p>Read more</p></article>"
+    assert text(f"<body>{teaser}<div>{PROSE}</div><div>In between.</div><div>{PROSE} {PROSE}</div></body>").split("\n\n") == [PROSE, "In between.", f"{PROSE} {PROSE}"]
+    listed = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa Lambda"  # long enough, but no stop word
+    assert text(f"<main><p>{PROSE}</p><p>{PROSE}</p></main><div>{listed}</div>") == f"{PROSE}\n\n{PROSE}"
+    links = "<p><a href=\"/\">a link text that is long enough to be decided by itself</a></p>"
+    page = f"<main><p>{PROSE}</p>{links}<p>Read more</p>{links}<p>{PROSE}</p></main>"
+    assert text(page) == f"{PROSE}\n\n{PROSE}"
+    assert text("<article><h1>Hello</h1><p>Short.</p></article><div>Menu</div>") == "Hello\n\nShort."
