@@ -5,8 +5,8 @@ counts, over all documents, how many hold each n-gram of the benchmark. Each
 item's seeds are the rarer of its n-grams: a rank, not a limit, so an item
 that is copied into very many documents keeps its seeds. The second scan joins
 documents to items by seeds and aligns, word by word, each item with the part
-of the document around its seeds, where it holds two of them at least (one, of
-an item that has no more).
+of the document around its seeds, where it holds as many of them as every
+alignment of the least score leaves.
 
 The benchmark is taken in blocks of bounded size; each block is broadcast and
 costs the two scans.
@@ -40,19 +40,32 @@ class Block:
     widths: list[int]
     grams: dict[int, np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width: hashes (sorted), items, places
-    most: list[int]  # n-grams of each item
+    needs: list[int]  # n-grams of each item that an alignment of the least score leaves at least
+    spans: list[int]  # how far apart the diagonals of such an alignment can lie
 
 
 def _fold(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace").translate(_FOLD)
 
 
-def _block(rows: list[tuple[int | None, str | None]], width: int) -> Block:
+def _left(n: int, width: int, least_score: float) -> tuple[int, int]:
+    """The widest n-gram, up to ``width`` words, that every alignment of the score with an item of ``n`` words leaves, and how many at least.
+
+    m matches less e edits make t = least_score * n at least, so e <= n - t; edits part the
+    matches into e + 1 runs at most, which hold m - (w - 1)(e + 1) n-grams or more.
+    """
+    t = max(1, int(np.ceil(least_score * n - 1e-9)))
+    found = [(w, t if w == 1 else t - (w - 1) - (w - 2) * max(0, n - t)) for w in range(1, min(width, n) + 1)]
+    return next(x for x in reversed(found) if x[1] > 0)
+
+
+def _block(rows: list[tuple[int | None, str | None]], width: int, least_score: float) -> Block:
     hashes, first = hash_words([_fold(t) for _, t in rows])
     items = [hashes[a:b] for a, b in zip(first, first[1:])]
-    widths = [min(width, len(x)) for x in items]
+    left = [_left(len(x), width, least_score) if len(x) else (0, 0) for x in items]
+    widths = [w for w, _ in left]
     grams = {w: np.unique(np.concatenate([_grams(x, w) for x, y in zip(items, widths) if y == w])) for w in {*widths} - {0}}
-    return Block(items, [i for i, _ in rows], widths, grams, {}, [len(x) - w + 1 for x, w in zip(items, widths)])
+    return Block(items, [i for i, _ in rows], widths, grams, {}, [n for _, n in left], [len(x) - int(np.ceil(least_score * len(x) - 1e-9)) for x in items])
 
 
 def _grams(words: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +119,11 @@ def _seed(block: Block, counts: dict[tuple[int, int], int], share: float, least:
         grams = _grams(words, w)
         at = np.searchsorted(block.grams[w], grams)
         often = np.array([counts.get((w, int(a)), 0) for a in at])
-        order = np.lexsort((np.arange(len(grams)), often))[: max(least, int(np.ceil(share * len(grams))))]
+        order = np.lexsort((np.arange(len(grams)), often))
+        # Each n-gram left out is one less to count on: as many go as leave one at least.
+        n = max(least, int(np.ceil(share * len(grams))), len(grams) - block.needs[i] + 1)
+        block.needs[i] -= max(0, len(grams) - n)
+        order = order[:n]
         chosen.setdefault(w, []).append((grams[order], np.full(len(order), i), order))
     for w, parts in chosen.items():
         h, item, place = (np.concatenate(p) for p in zip(*parts))
@@ -138,6 +155,18 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 1, mismatch: int = -1
     return best, *span
 
 
+def _dense(hits: np.ndarray, needs: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Which of the sorted ``hits`` (text, item, diagonal) have as many of their pair about them as the item needs."""
+    n = hits.shape[1]
+    ends = np.arange(n) + needs[hits[1]] - 1
+    to = np.minimum(ends, n - 1)
+    full = (ends < n) & (hits[0, to] == hits[0]) & (hits[1, to] == hits[1]) & (hits[2, to] - hits[2] <= spans[hits[1]])
+    cover = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(cover, np.flatnonzero(full), 1)
+    np.add.at(cover, ends[full] + 1, -1)
+    return np.cumsum(cover[:-1]) > 0
+
+
 def _matches(words: np.ndarray, first: np.ndarray, block: Block, least_score: float) -> list[tuple[int, int, float, int, int]]:
     """(text, item, score, start, words) of the best alignment of each pair that shares a seed, from ``least_score`` on."""
     hits = []
@@ -154,16 +183,14 @@ def _matches(words: np.ndarray, first: np.ndarray, block: Block, least_score: fl
         return []
     hits = np.concatenate(hits, axis=1)
     hits = hits[:, np.lexsort(hits[::-1])]
+    hits = hits[:, _dense(hits, np.array(block.needs), np.array(block.spans))]
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     a = 0
     for b in range(1, hits.shape[1] + 1):
         d, i, at = hits[:, b - 1]
-        slack = len(block.items[i]) // 2 + 2
+        slack = max(len(block.items[i]) // 2, block.spans[i]) + 2
         if b < hits.shape[1] and (hits[:2, b] == hits[:2, b - 1]).all() and hits[2, b] <= at + slack:
             continue
-        if b - a < min(2, block.most[i]):
-            a = b
-            continue
         low = max(int(first[d]), int(hits[2, a]) - slack)
         high = min(int(first[d + 1]), int(at) + len(block.items[i]) + slack)
         found, x, y = align(block.items[i], words[low:high])
@@ -174,7 +201,7 @@ def _matches(words: np.ndarray, first: np.ndarray, block: Block, least_score: fl
     return [(int(d), int(i), *v) for (d, i), v in best.items()]
 
 
-def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Block]:
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int, least_score: float) -> Iterator[Block]:
     """The items in blocks: numbered by running size over (item_id, text), fetched one block at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") > 0)
     if not (total := rows.agg(F.sum(F.octet_length("text"))).first()[0]):
@@ -182,15 +209,16 @@ def _blocks(benchmark: DataFrame, width: int, block_bytes: int) -> Iterator[Bloc
     n = 1 + total // block_bytes
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        yield _block(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r)), width)
+        yield _block(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r)), width, least_score)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share: float = 0.75, least_seeds: int = 8, least_score: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, start_word, n_words): the pairs of ``docs`` (doc_id, text) and ``benchmark`` (item_id, text) that align.
 
     Words are runs of letters and digits, in lower case. Seeds are n-grams of
-    ``width`` words (an item with fewer is one n-gram): of each item the
-    ``share`` that the fewest documents hold, ``least_seeds`` at least. score
+    up to ``width`` words, so few that an alignment of ``least_score`` always
+    leaves some: of each item the ``share`` that the fewest documents hold,
+    ``least_seeds`` at least. score
     is the local alignment's (1 a match, -1 a mismatch or gap) over the item's
     words: 1 is a whole copy. Pairs from ``least_score`` on are returned, each
     with its best place in the document's words. Texts that are null or have
@@ -201,7 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share: f
     schema = "doc_id long, item_id long, score double, start_word long, n_words long"
     out = None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for block in _blocks(benchmark, width, block_bytes):
+    for block in _blocks(benchmark, width, block_bytes, least_score):
         _seed(block, _frequencies(texts, block), share, least_seeds)
         shared = spark.sparkContext.broadcast(block)
 
@@ -222,7 +250,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share:
     """The rows of ``docs``, all columns, that :func:`contaminated` would not report. Decided row by row: an id's null or repetition doesn't matter."""
     spark = docs.sparkSession
     out = docs
-    for block in _blocks(benchmark, width, block_bytes):
+    for block in _blocks(benchmark, width, block_bytes, least_score):
         _seed(block, _frequencies(docs, block), share, least_seeds)
         shared = spark.sparkContext.broadcast(block)
 

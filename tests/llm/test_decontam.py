@@ -100,3 +100,27 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
     assert D.contaminated(empty, some).count() == D.contaminated(docs, none).count() == 0
     assert D.decontaminated(docs, none).count() == 1 and D.decontaminated(empty, some).count() == 0
+
+
+def test_short_and_much_edited_items_match_alignment_alone(spark):
+    rng = random.Random(4)
+    items, rows = [], []
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20):
+        for _ in range(3):
+            item = words(rng, n)
+            items.append((len(items), " ".join(item)))
+            for edits in range(1, 5):
+                for _ in range(4):
+                    copy = list(item)
+                    for _ in range(edits):
+                        at = rng.randrange(len(copy) + 1)
+                        copy[at : at + rng.randrange(2)] = rng.choice([[], ["zz"]])
+                    rows.append((len(rows), " ".join(words(rng, 30) + copy + words(rng, 30))))
+    mean = words(rng, 16)  # four words changed that leave runs of 3, 2, 3, 2 and 2
+    items.append((len(items), " ".join(mean)))
+    rows.append((len(rows), " ".join("zz" if k in (3, 6, 10, 13) else w for k, w in enumerate(mean))))
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    hashes, first = hash_words([D._fold(t) for _, t in rows])
+    asked, at = hash_words([D._fold(t) for _, t in items])
+    want = {(d, i) for d in range(len(rows)) for i in range(len(items)) if D.align(asked[at[i] : at[i + 1]], hashes[first[d] : first[d + 1]])[0] >= 0.5 * (at[i + 1] - at[i])}
+    assert got == want and (len(rows) - 1, len(items) - 1) in want
