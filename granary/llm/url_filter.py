@@ -2,11 +2,14 @@
 
 Every host has a tree of path templates. Digits in a segment are generalised
 at once; a segment whose place, under the same host and parent, has many
-different values that hardly repeat becomes a wildcard. Pages that a rule
-decides label their templates. Labelled templates under one parent whose share
-of blocked pages doesn't differ significantly from that of all of them are
-merged into one branch. A branch is rejected when its blocked share, smoothed
-towards the share over all labels, is high.
+different values that hardly repeat becomes a wildcard, which values without
+labels share with those that have some. Labelled branches under one parent
+whose share of blocked pages doesn't differ significantly from that of all of
+them are merged. A branch's purity is its merged blocked share, smoothed
+towards its parent's purity; the host's is smoothed towards the mean of all
+labelled hosts' shares, in which a host with very many pages counts once. A
+template is rejected when its purity is high and it, or a branch above it, was
+merged from labelled pages: a host's or the corpus' share alone rejects nothing.
 
 Pages are counted into distinct templates first, so the tree is built on the
 counts; a host with a third of all pages is a few rows of them.
@@ -21,11 +24,10 @@ from granary.llm.scratch import written
 
 #: (host, path, verdict): a rule fits its host and all subdomains, if the path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Levels of the tree; what lies deeper is part of the last. A variable place has so many values at least, each on fewer pages than so many on average.
+#: Levels of the tree; the path below them is one segment of the last. A variable place has so many values at least, each on fewer pages than so many on average.
 LEVELS, MANY, REPEATS = 4, 10, 3
-#: Standard errors within which branches are merged; weight of the overall share; share from which a branch is rejected.
+#: Standard errors within which branches are merged; weight of the parent's purity; purity from which a template is rejected.
 SIMILAR, SMOOTH, REJECT = 2.0, 5.0, 0.8
-LONG_SEGMENT = 32
 
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,11 +49,11 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def segments(path: Column) -> list[Column]:
-    """The first segments and, as the last, all the rest; digits generalised, very long ones wild. Missing ones are empty."""
+    """The first segments and, as the last, all the rest; digits generalised. Missing ones are empty."""
     clean = F.regexp_replace(path, "/+", "/")
     first = [F.split_part(clean, F.lit("/"), F.lit(k + 1)) for k in range(1, LEVELS)]
     rest = F.regexp_extract(clean, "(?s)^" + "/[^/]*" * (LEVELS - 1) + "/(.*)$", 1)
-    return [F.when(F.length(s) > LONG_SEGMENT, "*").otherwise(F.regexp_replace(s, "[0-9]+", "#")) for s in (*first, rest)]
+    return [F.regexp_replace(s, "[0-9]+", "#") for s in (*first, rest)]
 
 
 def templates(counts: DataFrame) -> DataFrame:
@@ -67,33 +69,30 @@ def templates(counts: DataFrame) -> DataFrame:
 
 
 def branches(counts: DataFrame) -> DataFrame:
-    """(host, s1 ..., purity): each distinct template's smoothed share of blocked pages, similar labelled siblings merged.
-
-    Siblings are the templates that differ in their last segment alone. A
-    template without labels has no share of its own to compare and stays by
-    itself, at the overall share.
-    """
+    """(host, s1 ..., purity, known): each distinct template's purity, and whether a branch on its way below the host holds labels, similar siblings' included."""
     t = [f"t{k}" for k in range(1, LEVELS + 1)]
-    last = F.greatest(*(F.when(F.col(c) != "", k).otherwise(0) for k, c in enumerate(t, 1)))
-    tree = written(templates(counts).withColumn("depth", last), "templates")
-    leaf = tree.groupBy("host", *t, "depth").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-    parent = [F.when(F.col("depth") > k, F.col(c)).otherwise("").alias(f"p{k}") for k, c in enumerate(t, 1)]
-    leaf = leaf.select("host", *t, "depth", "b", "l", *parent)
-    p = ["host", "depth", *(f"p{k}" for k in range(1, LEVELS + 1))]
-    pooled = leaf.groupBy(*p).agg(F.sum("b").alias("pb"), F.sum("l").alias("pl"))
-    leaf = leaf.join(pooled, p)
-    share, all_share = F.col("b") / F.col("l"), F.col("pb") / F.col("pl")
-    # |b/l - pb/pl| <= z * sqrt(pb/pl * (1 - pb/pl) / l), squared and without divisions
-    off = F.col("b") * F.col("pl") - F.col("pb") * F.col("l")
-    similar = (F.col("l") > 0) & (off * off <= SIMILAR * SIMILAR * F.col("pb") * (F.col("pl") - F.col("pb")) * F.col("l"))
-    leaf = leaf.withColumn("same", similar)
-    merged = leaf.where("same").groupBy(*p).agg(F.sum("b").alias("mb"), F.sum("l").alias("ml"))
-    leaf = leaf.join(merged, p, "left")
-    b, l = F.when(F.col("same"), F.col("mb")).otherwise(F.col("b")), F.when(F.col("same"), F.col("ml")).otherwise(F.col("l"))
-    every = counts.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l")).first()
-    prior = (every["b"] or 0) / every["l"] if every["l"] else 0.0
-    leaf = leaf.select("host", *t, ((b + SMOOTH * prior) / (l + SMOOTH)).alias("purity"))
-    return tree.join(leaf, ["host", *t]).select("host", *(f"s{k}" for k in range(1, LEVELS + 1)), "purity")
+    tree = written(templates(counts), "templates")
+    sums = lambda b, l: (F.sum("b").alias(b), F.sum("l").alias(l))
+    # Counts are doubles from here on: their products outgrow a long.
+    leaf = written(tree.groupBy("host", *t).agg(F.sum("blocked").cast("double").alias("b"), F.sum("labelled").cast("double").alias("l")), "leaves")
+    hosts = leaf.groupBy("host").agg(*sums("b0", "l0"))
+    overall = hosts.where("l0 > 0").agg(F.coalesce(F.round(F.avg(F.col("b0") / F.col("l0")), 6), F.lit(0.0))).first()[0]
+    placed, purity, known = leaf.drop("b", "l").join(hosts, "host"), F.lit(overall), F.lit(False)
+    purity = (F.col("b0") + SMOOTH * purity) / (F.col("l0") + SMOOTH)
+    for k in range(1, LEVELS + 1):
+        keys, b, l, pb, pl = ["host", *t[:k]], *(F.col(c) for c in ("b", "l", "pb", "pl"))
+        node = leaf.where(F.col(f"t{k}") != "").groupBy(*keys).agg(*sums("b", "l"))
+        node = node.join(node.groupBy(*keys[:-1]).agg(*sums("pb", "pl")), keys[:-1])
+        # |b/l - pb/pl| <= z * sqrt(pb/pl * (1 - pb/pl) / l), squared and without divisions
+        off = b * pl - pb * l
+        node = node.withColumn("same", (l > 0) & (off * off <= SIMILAR * SIMILAR * pb * (pl - pb) * l))
+        node = node.join(node.where("same").groupBy(*keys[:-1]).agg(*sums("mb", "ml")), keys[:-1], "left")
+        own = lambda merged, c: F.when(F.col("same"), F.col(merged)).otherwise(F.col(c))
+        placed = placed.join(node.select(*keys, own("mb", "b").alias(f"b{k}"), own("ml", "l").alias(f"l{k}")), keys, "left")
+        purity = F.when(F.col(f"l{k}").isNull(), purity).otherwise((F.col(f"b{k}") + SMOOTH * purity) / (F.col(f"l{k}") + SMOOTH))
+        known = known | F.coalesce(F.col(f"l{k}") > 0, F.lit(False))
+    placed = placed.select("host", *t, purity.alias("purity"), known.alias("known"))
+    return tree.join(placed, ["host", *t]).select("host", *(f"s{k}" for k in range(1, LEVELS + 1)), "purity", "known")
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -101,7 +100,7 @@ def judged(pages: DataFrame) -> DataFrame:
 
     rule is the longest that fits (null: none). verdict is its verdict, else
     block where the page's template is rejected, else allow; purity is the
-    template's. A null url, or one without ``://``, has an empty host and path
+    template's. Urls of any length are judged whole. A null url, or one without ``://``, has an empty host and path
     and is judged as any other template. Null ids and repeated rows stay;
     other columns are ignored; an empty table gives no rows.
     """
@@ -113,7 +112,7 @@ def judged(pages: DataFrame) -> DataFrame:
     labelled = F.col("decided").isNotNull().cast("long")
     blocked = F.coalesce(F.col("decided") == "block", F.lit(False)).cast("long")
     counts = written(rows.groupBy("host", *s).agg(F.count("*").alias("n"), F.sum(blocked).alias("blocked"), F.sum(labelled).alias("labelled")), "counts")
-    verdict = F.coalesce("decided", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    verdict = F.coalesce("decided", F.when(F.col("known") & (F.col("purity") >= REJECT), "block").otherwise("allow"))
     return rows.join(branches(counts), ["host", *s], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "purity")
 
 
@@ -127,7 +126,7 @@ WITH split AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 cut AS (SELECT *, regexp_replace(path, '/+', '/', 'g') AS clean, CASE {when('rule')} END AS rule, CASE {when('verdict')} END AS decided FROM split),
-urls AS (SELECT page_id, host, path, rule, decided, {', '.join(f"CASE WHEN len({r}) > {LONG_SEGMENT} THEN '*' ELSE regexp_replace({r}, '[0-9]+', '#', 'g') END AS {n}" for n, r in zip(s, raw))} FROM cut),
+urls AS (SELECT page_id, host, path, rule, decided, {', '.join(f"regexp_replace({r}, '[0-9]+', '#', 'g') AS {n}" for n, r in zip(s, raw))} FROM cut),
 c0 AS (SELECT host, {', '.join(s)}, count(*) AS n, sum((decided = 'block' AND decided IS NOT NULL)::BIGINT)::BIGINT AS blocked, count(decided) AS labelled FROM urls GROUP BY ALL)"""
     keys = ["host"]
     for k in range(1, LEVELS + 1):
@@ -135,19 +134,22 @@ c0 AS (SELECT host, {', '.join(s)}, count(*) AS n, sum((decided = 'block' AND de
 w{k} AS (SELECT {', '.join(keys)} FROM (SELECT {', '.join(keys)}, s{k}, sum(n) AS n FROM c{k - 1} WHERE s{k} <> '' GROUP BY ALL) GROUP BY ALL HAVING count(*) >= {MANY} AND sum(n) < {REPEATS} * count(*)),
 c{k} AS (SELECT c.*, CASE WHEN c.s{k} <> '' AND w.host IS NOT NULL THEN '*' ELSE c.s{k} END AS t{k} FROM c{k - 1} c LEFT JOIN w{k} w ON {' AND '.join(f'c.{x} = w.{x}' for x in keys)})"""
         keys.append(f"t{k}")
-    p = ["host", "depth", *(f"p{k}" for k in range(1, LEVELS + 1))]
-    depth = f"greatest({', '.join(f'CASE WHEN {c} <> {chr(39) * 2} THEN {k} ELSE 0 END' for k, c in enumerate(t, 1))})"
-    parent = ", ".join(f"CASE WHEN depth > {k} THEN {c} ELSE '' END AS p{k}" for k, c in enumerate(t, 1))
+    sql += f""",
+leaf AS (SELECT host, {', '.join(t)}, sum(blocked)::DOUBLE AS b, sum(labelled)::DOUBLE AS l FROM c{LEVELS} GROUP BY ALL),
+hosts AS (SELECT host, sum(b) AS b0, sum(l) AS l0 FROM leaf GROUP BY ALL),
+overall AS (SELECT coalesce(round(avg(b0 / l0) FILTER (WHERE l0 > 0), 6), 0) AS share FROM hosts),
+p0 AS (SELECT leaf.*, (b0 + {SMOOTH} * share) / (l0 + {SMOOTH}) AS purity, FALSE AS known FROM leaf JOIN hosts USING (host), overall)"""
+    for k in range(1, LEVELS + 1):
+        keys, up = ", ".join(["host", *t[:k]]), ", ".join(["host", *t[: k - 1]])
+        sql += f""",
+n{k} AS (SELECT *, l > 0 AND (b * pl - pb * l) * (b * pl - pb * l) <= {SIMILAR * SIMILAR} * pb * (pl - pb) * l AS same FROM (
+  SELECT *, sum(b) OVER w AS pb, sum(l) OVER w AS pl FROM (SELECT {keys}, sum(b) AS b, sum(l) AS l FROM leaf WHERE t{k} <> '' GROUP BY ALL) WINDOW w AS (PARTITION BY {up}))),
+m{k} AS (SELECT {keys}, CASE WHEN same THEN sum(b) FILTER (WHERE same) OVER w ELSE b END AS mb, CASE WHEN same THEN sum(l) FILTER (WHERE same) OVER w ELSE l END AS ml FROM n{k} WINDOW w AS (PARTITION BY {up})),
+p{k} AS (SELECT p.* EXCLUDE (purity, known), CASE WHEN ml IS NULL THEN purity ELSE (mb + {SMOOTH} * purity) / (ml + {SMOOTH}) END AS purity, known OR coalesce(ml > 0, FALSE) AS known
+  FROM p{k - 1} p LEFT JOIN m{k} USING ({keys}))"""
     return sql + f""",
-tree AS (SELECT *, {depth} AS depth FROM c{LEVELS}),
-leaf AS (SELECT *, {parent} FROM (SELECT host, {', '.join(t)}, depth, sum(blocked)::BIGINT AS b, sum(labelled)::BIGINT AS l FROM tree GROUP BY ALL)),
-pooled AS (SELECT *, sum(b) OVER w AS pb, sum(l) OVER w AS pl FROM leaf WINDOW w AS (PARTITION BY {', '.join(p)})),
-near AS (SELECT *, l > 0 AND ((b * pl - pb * l) * (b * pl - pb * l))::DOUBLE <= {SIMILAR * SIMILAR} * (pb * (pl - pb) * l)::DOUBLE AS same FROM pooled),
-merged AS (SELECT *, sum(b) FILTER (WHERE same) OVER w AS mb, sum(l) FILTER (WHERE same) OVER w AS ml FROM near WINDOW w AS (PARTITION BY {', '.join(p)})),
-prior AS (SELECT coalesce(sum(blocked)::DOUBLE / nullif(sum(labelled), 0)::DOUBLE, 0) AS prior FROM c0),
-pure AS (SELECT host, {', '.join(t)}, ((CASE WHEN same THEN mb ELSE b END)::DOUBLE + {SMOOTH} * prior) / ((CASE WHEN same THEN ml ELSE l END)::DOUBLE + {SMOOTH}) AS purity FROM merged, prior),
-branch AS (SELECT {', '.join(f'tree.{x}' for x in ['host', *s])}, purity FROM tree JOIN pure USING (host, {', '.join(t)}))
-SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.decided, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
+branch AS (SELECT {', '.join(f'c.{x}' for x in ['host', *s])}, purity, known FROM c{LEVELS} c JOIN p{LEVELS} USING (host, {', '.join(t)}))
+SELECT u.page_id, u.host, u.path, u.rule, coalesce(u.decided, CASE WHEN known AND purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls u LEFT JOIN branch b ON {' AND '.join(f'u.{x} = b.{x}' for x in ['host', *s])}
 """
 

@@ -59,9 +59,37 @@ def test_templates_learn_from_labels_and_merge_alike_siblings(spark):
     assert got[n + 1]["purity"] > 0.9  # a wildcard holds the value that no label has
 
 
+def test_purities_back_off_and_only_labelled_branches_are_rejected(spark):
+    bad = [f"http://spam.net/es/{i}.html" for i in range(60)] + [f"http://spam.net/fr/{i}.html" for i in range(60)]
+    good = [f"http://fine.com/a/{i}" for i in range(30)]
+    asked = ["http://spam.net//es/7.html", "http://spam.net//fr/x", "http://spam.net/en/7.html", "http://spam.net", "http://new.org/es/7", "http://fine.com//a/1"]
+    got = judged(spark, [*bad, *good, *asked])
+    rows = [got[len(bad) + len(good) + i] for i in range(len(asked))]
+    assert [r["verdict"] for r in rows] == ["block", "block", "allow", "allow", "allow", "allow"]
+    assert [r["rule"] for r in rows[:5]] == [None] * 5
+    purities = [r["purity"] for r in rows]
+    # a labelled template, one under a labelled parent, one that has its host's share only, one that has the corpus' only
+    assert 0.99 < purities[0] and 0.95 < purities[1] and 0.95 < purities[2] < purities[0] and purities[4] == 0.5 and purities[5] < 0.15
+
+
+def test_large_counts(spark):
+    pages = spark.range(120_000).selectExpr("id AS page_id", "CASE WHEN id % 2 = 0 THEN 'http://example.com/en/?q' ELSE 'http://example.com/de?q' END AS url")
+    assert {tuple(r) for r in U.judged(pages).groupBy("verdict").count().collect()} == {("block", 60_000), ("allow", 60_000)}
+
+
+def test_very_long_urls_and_clashing_columns(spark):
+    long = "/".join(["x" * 50_000, "9" * 5000] * 4)
+    rows = [(1, f"http://a.org/{long}?{long}", "h", "p", "r", 2.0), (2, f"http://{'b' * 9000}.net/es/{long}", None, None, None, None)]
+    pages = spark.createDataFrame(rows, PAGES + ", host string, path string, rule string, purity double")
+    got = {r["page_id"]: r for r in U.judged(pages).collect()}
+    assert got[1]["path"] == f"/{long}" and got[1]["verdict"] == "allow" and got[2]["rule"] == "net/es/"
+
+
 def test_unlabelled_templates_are_allowed(spark):
-    urls = [f"http://m{i}.net/fr/page" for i in range(3)] + [f"http://x{i}.com/page" for i in range(9)] + ["http://spam.org/page"]
-    assert judged(spark, urls)[12]["verdict"] == "allow"
+    # most labelled pages are blocked, on other hosts
+    urls = [f"http://m{i}.net/fr/page" for i in range(9)] + ["http://x.com/page", "http://spam.org/page"]
+    got = judged(spark, urls)
+    assert got[10]["verdict"] == "allow" and got[10]["purity"] >= U.REJECT
 
 
 def test_matches_the_sql(spark):
