@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.components import connected_components
-from granary.llm.scratch import written
-from granary.llm.words import hash_words, mixed, powers, windows
+from granary.llm.scratch import map_batches, written
+from granary.llm.words import hash_words, mixed, windows
 
 BANDS, ROWS = 20, 6
 _LUMP = 1 << 18
 #: Members of a cell that are joined with as many others in one group; a larger cell is dealt into several such groups.
 _CROWD = 512
-_ODD = powers(0xA24BAED4963EE407, BANDS * ROWS + 1)[1:]
-_STEP = powers(0x9FB21C651E98DF25, ROWS)
+_ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_STEP = mixed(np.arange(1001, ROWS + 1001, dtype=np.uint64)) | np.uint64(1)
 _BAND = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
@@ -73,7 +73,7 @@ def _mapped(docs: DataFrame, width: int, added: dict[str, str], row: Callable[[b
                 columns = [pa.array(list(v), type=t) for v, t in zip(values, types)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(start, at - start).columns[:-1], *columns], names)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def _sketch(shingles: np.ndarray) -> tuple[bytes, int, np.ndarray]:
