@@ -3,6 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import defaultdict
+
+import regex
+from pyspark.sql import functions as F
 
 from granary.llm import pii
 
@@ -79,3 +83,100 @@ def test_one_copied_passage_is_not_many_seeds(spark):
 def test_empty_table(spark):
     out = pii.report(spark.createDataFrame([], DOCS))
     assert out.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] and out.count() == 0
+
+
+def brute_spans(docs, rounds=3, least_score=0.7, least_seeds=5, doubt=1.0):
+    """All spans by the method in plain Python: doc_id to a sorted list of (kind, start, end)."""
+    kinds = list(pii.KINDS)
+    seen, out = [], {}
+    for i, text in docs:
+        base = brute(text)
+        out[i] = [(kinds.index(k), a, b) for k, a, b in base]
+        groups = list(regex.finditer(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*[0-9@+][^\x20\x09-\x0D]*(?:\x20[(]?[0-9]{1,5}[)]?(?:-[0-9]{1,5})*[^\x20\x09-\x0DA-Za-z0-9@+-]*(?![^\x20\x09-\x0D]))*", text))
+        edges = [0, *(m.end() for m in groups)], [*(m.start() for m in groups), len(text)]
+        gaps = [text[a:b].lower().split() for a, b in zip(*edges)]
+        for m, before, after in zip(groups, gaps, gaps[1:]):
+            lead = len(regex.match(r"[^\p{L}\p{N}+(@]*", m[0])[0])
+            word = regex.sub(r"[^\p{L}\p{N}]*$", "", m[0][lead:], count=1)
+            if not word:
+                continue
+            a = m.start() + lead
+            b = a + len(word)
+            if any(x < a < y for _, x, y in base):
+                continue
+            inner = sorted((x, kinds.index(k), text[x:y]) for k, x, y in base if a <= x < b)
+            contexts = {f"{before[-1]} _"} if before else set()
+            contexts |= {f"{before[-2]} {before[-1]} _"} if len(before) > 1 else set()
+            contexts |= {f"_ {after[0]}"} if after else set()
+            contexts |= {f"{before[-1] if before else '#'} _ {after[0] if after else '#'}"} if before or after else set()
+            own = inner[0][1] if inner else kinds.index("secret") if re.fullmatch("(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{32,}", word) else None
+            seen.append((i, a, b, inner[0][2] if inner else word, own, contexts))
+    graph, own = defaultdict(set), {}
+    for _, _, _, word, kind, contexts in seen:
+        for c in contexts:
+            graph[c].add(word)
+            own[c, word] = max(own.get((c, word), -1), -1 if kind is None else kind)
+    score = {(w, k): 1.0 for (_, w), k in own.items() if k >= 0}
+    fits = lambda k, w: re.search(pii.SHAPES[kinds[k]], w) is not None
+    instances = [(c, w, k, 1.0) for (c, w), k in own.items() if k >= 0]
+    for turn in range(rounds):
+        if turn:
+            likely = defaultdict(float)
+            free = [(c, w) for (c, w), k in own.items() if k < 0]
+            for c, w in free:
+                for k in range(len(kinds)):
+                    if (c, k) in scored and fits(k, w):
+                        likely[w, k] = max(likely[w, k], scored[c, k][0])
+            instances = [x for x in instances if x[3] == 1.0 and own[x[:2]] >= 0] + [(c, w, k, likely[w, k]) for c, w in free for k in range(len(kinds)) if (w, k) in likely]
+        sums = defaultdict(lambda: [0.0, 0])
+        for c, _, k, s in instances:
+            sums[c, k][0] += s
+            sums[c, k][1] += s >= least_score
+        scored = {(c, k): (s / (len(graph[c]) + doubt), n) for (c, k), (s, n) in sums.items() if n}
+    trusted = {x: s for x, (s, n) in scored.items() if s >= least_score and n >= least_seeds}
+    assert score
+    for i, a, b, word, kind, contexts in seen:
+        if kind is None or kinds[kind] == "secret":
+            found = [(trusted[c, k], -k) for c in contexts for k in range(len(kinds)) if (c, k) in trusted and fits(k, word)]
+            if found:
+                out[i].append((-max(found)[1], a, b))
+    return {i: ",".join(f"{kinds[k]}:{a}:{b}" for k, a, b in sorted(x)) for i, x in out.items()}
+
+
+def test_discoveries_match_brute_force(spark):
+    rng = random.Random(5)
+    intros = ["call me at", "my token =", "TOKEN =", "write to", "from host", "pay with", "the", ""]
+    things = [lambda: f"+1 (555) 555-{rng.randint(1000, 9999)}", lambda: f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"({rng.randint(100, 999)}) {rng.randint(100, 999)} {rng.randint(1000, 9999)}", lambda: f'"{rng.getrandbits(160):040x}"!!', lambda: f"k{rng.getrandbits(50)}z", lambda: f"u{rng.randint(1, 99)}@mail.com,", lambda: f"u{rng.randint(1, 99)}@localhost", lambda: ".".join(str(rng.randint(0, 299)) for _ in range(4)), lambda: str(rng.randint(1, 99999)), lambda: "plain"]
+    usual = {0: (0, 0, 0, 0, 1, 2), 1: (3, 3, 3, 4), 2: (3, 3, 4), 3: (5, 5, 5, 6), 4: (7,), 5: (8,)}
+    docs = []
+    for i in range(200):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(intros))
+            likely = [things[x] for x in usual[k]] if k in usual and rng.random() < 0.95 else things
+            parts.append(f"{intros[k]} {rng.choice(likely)()} {rng.choice(['now', 'ok', 'and more', ''])}")
+        docs.append((i, " ".join(parts)))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(docs, DOCS)).collect()}
+    want = brute_spans(docs)
+    assert got == want
+    assert sum("secret" in x for x in want.values()) > 10 and sum(x.count("phone") + x.count("email") for x in want.values()) > sum(len([s for s in brute(t) if s[0] in ("phone", "email")]) for _, t in docs) + 10
+
+
+def test_very_many_matches_in_a_text(spark):
+    rows = [(1, "u@v.ww " * 100_000), (2, "1." * 1_000_000), (3, ("x" * 300_000 + " ") * 2 + "1"), (4, "!" * 300_000 + "1" + "!" * 300_000), (5, "7 " * 300_000)]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1]["n_email"] == 100_000 and got[2]["n_ip"] == 250_000 and got[3]["spans"] == got[4]["spans"] == ""
+
+
+def test_held_back_seeds_are_discovered(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    places = pii.located(pii.found(docs)).cache()
+    seen = pii.occurrences(places, pii.base_spans(places)).cache()
+    secret = pii.KINDS.index("secret")
+    held = (F.col("kind") == secret) & (F.xxhash64("word") % 3 == 0)
+    hidden = seen.withColumn("kind", F.when(~F.coalesce(held, F.lit(False)), F.col("kind")))
+    spans = pii.discovered(hidden, pii.patterns(hidden)).where(F.col("kind") == secret)
+    back = seen.where(held).select("row", "start", "end")
+    n = back.count()
+    assert n > 30 and back.join(spans, ["row", "start", "end"]).count() >= 0.9 * n
+    assert spans.join(seen.where(F.col("kind") == secret), ["row", "start", "end"], "left_anti").count() == 0
