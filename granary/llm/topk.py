@@ -1,29 +1,32 @@
 """Exact top-k search by inner product, after MaxScore.
 
 A vector's dimensions are its terms, its integer components their impacts. A
-shard holds some of the vectors, one array per dimension. Per query and shard
-each dimension has an upper bound of what it can add to a score there. Taken
-by falling bound, the first dimensions are essential: their arrays are
-traversed for all vectors. The others are probed a few at a time, and only for
-vectors whose score so far plus the bounds of the dimensions left reaches the
-k-th best score known. As soon as no vector is left, or all dimensions are
-used, the shard's k best go on to be merged with the other shards'.
+shard holds some of the vectors in chunks, one array per dimension. Per query
+and chunk each dimension has an upper bound of what it can add to a score
+there. By falling bound, the terms before the border are essential: the border
+lies where the bounds that remain no longer add up to the score to beat, the
+query's k-th best so far. Essential arrays are traversed for all vectors of a
+chunk; the others are probed a few at a time, only for vectors whose score so
+far plus the bounds that remain reaches the score to beat, which is raised on
+the way by finishing the best. As it rises from chunk to chunk, the border moves
+forward. A query's k best of each shard are merged.
+
+Blocks of queries and shards of vectors meet in an equi-join of their numbers,
+so that memory depends on neither's count and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import written
+from granary.llm.scratch import bound_batches, release_memory, written
 
 SCALE = 256
-#: Queries in a block (one broadcast), vectors in a shard, and dimensions probed at a time.
-QUERY_BLOCK, SHARD_ROWS, PROBE = 4096, 16384, 8
+#: Queries in a block, vectors in a shard and in a chunk of it, and terms probed at a time.
+QUERY_BLOCK, SHARD_ROWS, CHUNK, PROBE = 4096, 8192, 2048, 8
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -47,83 +50,106 @@ def _longest(column: pa.ListArray) -> int:
     return int(np.diff(column.offsets.to_numpy()).max(initial=0))
 
 
-class Shard:
+class Chunk:
     """Vectors by dimension, with each dimension's extremes."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.terms = ids[order], np.ascontiguousarray(rows[order].T)
+        self.ids, self.terms = ids, np.ascontiguousarray(rows.T)
         self.high, self.low = self.terms.max(axis=1), self.terms.min(axis=1)
         self.most = int(np.abs(self.terms).max(initial=0)) * len(self.terms)
         self.floats = self.terms.astype(np.float64)
 
+
+def _k_th(scores: np.ndarray, k: int):
+    return np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else None
+
+
+def border(left: np.ndarray, floor) -> int:
+    """How many terms are essential: ``left`` is what the terms from each place on can add, ``floor`` the score to beat, None if there is none."""
+    return len(left) - 1 if floor is None else max(1, int(np.argmax(left < floor))) if left[-1] < floor else len(left) - 1
+
+
+class Shard:
+    """Chunks of vectors that are searched in turn."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, chunk: int = CHUNK):
+        self.chunks = [Chunk(ids[at : at + chunk], rows[at : at + chunk]) for at in range(0, len(ids), chunk)]
+        #: Components read by all searches so far.
+        self.read = 0
+
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best vectors but those with the id ``own``; all that tie with the last are considered, smaller ids first."""
-        n = min(len(query), len(self.terms))
+        """Ids and scores of the k best vectors but those with the id ``own``; all that tie with the last are considered, smaller ids first."""
+        ids, scores, floor = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+        for chunk in self.chunks:
+            more, found = self._search(chunk, query, own, k, floor)
+            ids, scores = np.concatenate((ids, more)), np.concatenate((scores, found))
+            first = np.lexsort((ids, -scores))[:k]
+            ids, scores = ids[first], scores[first]
+            floor = scores[-1] if len(scores) == k else None
+        return ids, scores
+
+    def _search(self, chunk: Chunk, query: np.ndarray, own: int, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
+        n = min(len(query), len(chunk.terms))
         # Sums below 2^53 are exact as doubles, whose products are much faster.
-        terms, weight = (self.floats, query[:n].astype(np.float64)) if self.most * int(np.abs(query).max(initial=0)) < 1 << 53 else (self.terms, query[:n])
-        bounds = np.maximum(weight * self.high[:n], weight * self.low[:n])
-        order = np.argsort(-np.abs(weight), kind="stable")
-        left = np.concatenate((np.cumsum(bounds[order][::-1])[::-1], [0]))  # what the dimensions from here on can add
-        at, alive = min(n, 2 * PROBE), np.flatnonzero(self.ids != own)
-        essential = order[:at]
-        scores = (weight[essential] @ terms[essential])[alive]
-        if len(alive) > k:  # the k best so far, finished, give the score to beat
-            first = alive[np.argpartition(-scores, k - 1)[:k]]
-            floor = (weight @ terms[:n, first]).min()
-        else:
-            floor = None
+        terms, weight = (chunk.floats, query[:n].astype(np.float64)) if chunk.most * int(np.abs(query).max(initial=0)) < 1 << 53 else (chunk.terms, query[:n])
+        bounds = np.maximum(weight * chunk.high[:n], weight * chunk.low[:n])
+        order = np.argsort(-bounds, kind="stable")
+        left = np.concatenate((np.cumsum(bounds[order][::-1])[::-1], [0]))
+        alive = np.flatnonzero(chunk.ids != own)
+
+        def raised(places: np.ndarray, floor):
+            exact = _k_th(weight @ terms[:n, places], k)
+            self.read += n * len(places)
+            return floor if exact is None or floor is not None and floor >= exact else exact
+
+        if floor is None and n and len(alive) > k:  # the k vectors that the term of the highest bound favours
+            favoured = weight[order[0]] * terms[order[0], alive]
+            floor = raised(alive[np.argpartition(-favoured, k - 1)[:k]], None)
+        at = border(left, floor)
+        scores = (weight[order[:at]] @ terms[order[:at]])[alive] if at else np.zeros(len(alive), dtype=terms.dtype)
+        self.read += at * len(chunk.ids)
         while at < n and len(alive):
+            if len(alive) > k:
+                floor = raised(alive[np.argpartition(-scores, k - 1)[:k]], floor)
             if floor is not None:
                 keep = scores + left[at] >= floor
                 alive, scores = alive[keep], scores[keep]
             probe = order[at : at + PROBE]
             scores = scores + weight[probe] @ terms[np.ix_(probe, alive)]
+            self.read += len(probe) * len(alive)
             at += PROBE
-        ranked = np.lexsort((self.ids[alive], -scores))[:k]
-        return alive[ranked], scores[ranked].astype(np.int64)
+        first = np.lexsort((chunk.ids[alive], -scores))[:k]
+        return chunk.ids[alive[first]], scores[first].astype(np.int64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k`` best of ``vectors``, by inner product, ties to the smaller vec_id.
 
-    Both are (vec_id, v array<long>), as of :func:`integers`; candidates with
-    the query's own id are left out. Fewer candidates give fewer rows; empty
-    tables none. A shorter vector counts as filled up with zeros. Repeated
-    queries give repeated rows, repeated vectors take a rank each. The queries
-    are a stated set: they are broadcast in blocks of ``query_block`` against
-    all vectors, each block a scan of them.
+    Both are (vec_id, v array<long>, n long), of :func:`numbered`; candidates
+    with the query's own id are left out. Fewer candidates give fewer rows;
+    empty tables none. A shorter vector counts as filled up with zeros.
+    Repeated queries give repeated rows, repeated vectors take a rank each,
+    whatever share of the rows they are: shards are cut by row number.
     """
-    spark = vectors.sparkSession
-    n_queries = queries.count()
-    n_blocks = -(-n_queries // query_block)
-    numbered = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n_blocks))).alias("b"))
-    schema = "query_id long, q long, vec_id long, score long"
-    out = None
-    for block in range(n_blocks):
-        rows = numbered.where(F.col("b") == block).select("vec_id", "v").toArrow()
-        if not rows.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((rows.column("vec_id").to_numpy(), rows.column("v").combine_chunks(), block))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors, number = shared.value
-            longest = _longest(vectors)
-            asked = _matrix(vectors, longest)
-            for batch in batches:
-                for at in range(0, batch.num_rows, SHARD_ROWS):
-                    part = batch.slice(at, SHARD_ROWS)
-                    shard = Shard(part.column("vec_id").to_numpy(), _matrix(part.column("v"), _longest(part.column("v"))))
-                    found = [shard.best(v, i, k) for i, v in zip(ids, asked)]
-                    n = [len(places) for places, _ in found]
-                    q = np.repeat(np.arange(len(ids)), n)
-                    columns = (ids[q], q + (number << 32), shard.ids[np.concatenate([p for p, _ in found])], np.concatenate([s for _, s in found]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "q", "vec_id", "score"])
-
-        part = vectors.select("vec_id", "v").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    bound_batches(vectors.sparkSession)
+    n_shards, n_blocks = 1 + vectors.count() // shard_rows, 1 + queries.count() // query_block
+    asked = queries.select(F.col("vec_id").alias("own"), F.col("v").alias("query"), F.col("n").alias("q"))
+    dealt = lambda df, number, name, n, other, m: df.withColumns({name: F.pmod(F.xxhash64(number), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))}).groupBy("b", "s")
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        names = ["q", "query_id", "vec_id", "score"]
+        if not asked.num_rows or not rows.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 4, names)
+        v, w = asked.column("query").combine_chunks(), rows.column("v").combine_chunks()
+        shard = Shard(rows.column("vec_id").to_numpy(), _matrix(w, _longest(w)))
+        ids, numbers = asked.column("own").to_numpy(), asked.column("q").to_numpy()
+        found = [shard.best(x, i, k) for x, i in zip(_matrix(v, _longest(v)), ids)]
+        times = [len(i) for i, _ in found]
+        columns = (np.repeat(numbers, times), np.repeat(ids, times), *(np.concatenate(x) for x in zip(*found)))
+        release_memory()
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names)
+
+    out = dealt(asked, "q", "b", n_blocks, "s", n_shards).cogroup(dealt(vectors, "n", "s", n_shards, "b", n_blocks)).applyInArrow(run, "q long, query_id long, vec_id long, score long")
     # A query's rows are k for each shard: first the best of each of a few salts of shards, then of these.
     salted = Window.partitionBy("q", F.pmod(F.xxhash64("vec_id"), F.lit(8))).orderBy(F.desc("score"), "vec_id")
     few = out.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k)
@@ -131,9 +157,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     return few.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def numbered(vectors: DataFrame) -> DataFrame:
+    """:func:`integers` of ``vectors`` with n, a number for each row, as a table in the shared folder."""
+    return written(integers(vectors).withColumn("n", F.monotonically_increasing_id()), "vectors")
+
+
 def search(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """:func:`top_k` over ``embeddings`` (vec_id, embedding) for the rows whose vec_id ``every`` divides. Other columns are ignored."""
-    vectors = written(integers(embeddings), "vectors")
+    vectors = numbered(embeddings)
     return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
 
 

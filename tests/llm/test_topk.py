@@ -37,11 +37,12 @@ def test_matches_brute_force_with_ties(spark):
     assert got(spark, rows, every=7) == brute(rows, every=7)
 
 
-def test_blocks_of_queries_change_nothing(spark):
+def test_blocks_and_shards_change_nothing(spark):
     rows = random_rows(120)
-    vectors = K.integers(spark.createDataFrame(rows, VECTORS))
-    found = K.top_k(vectors, vectors.where("vec_id % 3 = 0"), 5, query_block=7)
-    assert sorted(tuple(r) for r in found.collect()) == brute(rows, every=3)
+    vectors = K.numbered(spark.createDataFrame(rows, VECTORS))
+    for blocks, shards in ((7, 1000), (1000, 11), (9, 13)):
+        found = K.top_k(vectors, vectors.where("vec_id % 3 = 0"), 5, query_block=blocks, shard_rows=shards)
+        assert sorted(tuple(r) for r in found.collect()) == brute(rows, every=3)
 
 
 def test_nulls_ties_lengths_repeats_and_other_columns(spark):
@@ -65,12 +66,21 @@ def test_matches_the_sql(spark):
 
 
 @pytest.mark.parametrize("scale", [1, 1 << 24])
-def test_a_shard_prunes_but_is_exact(scale):
+@pytest.mark.parametrize("falling", [False, True])
+def test_a_shard_reads_less_and_is_exact(scale, falling):
     rng = np.random.default_rng(1)
     rows = rng.integers(-20, 20, (500, 40)) * scale  # the larger sums don't fit a double
-    shard = K.Shard(np.arange(500), rows)
+    if falling:
+        rows = rows // (1 + np.arange(40)) ** 2
+    shard = K.Shard(np.arange(500), rows, chunk=100)
     for q in range(0, 500, 25):
-        places, scores = shard.best(rows[q], q, 5)
+        ids, scores = shard.best(rows[q], q, 5)
         all_scores = (rows @ rows[q]).astype(np.int64)
         want = sorted((-s, i) for i, s in enumerate(all_scores) if i != q)[:5]
-        assert [(-s, i) for s, i in zip(scores, places)] == want
+        assert [(-s, i) for s, i in zip(scores, ids)] == want
+    assert shard.read < (0.5 if falling else 1) * 20 * rows.size
+
+
+def test_the_border_follows_bounds_and_the_score_to_beat():
+    left = np.array([10, 6, 3, 1, 0])  # what the terms from each place on can add
+    assert [K.border(left, f) for f in (None, 11, 10, 7, 4, 2, 1, 0, -5)] == [4, 1, 1, 1, 2, 3, 4, 4, 4]
