@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.scratch import map_batches
 from granary.llm.words import hash_words, windows
 
 #: Letters in lower case, other ASCII characters but digits as spaces.
@@ -107,7 +108,7 @@ def _frequencies(docs: DataFrame, block: Block) -> dict[tuple[int, int], int]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], ["w", "gram", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "w int, gram int, n long").groupBy("w", "gram").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select("text"), run, "w int, gram int, n long").groupBy("w", "gram").agg(F.sum("n").alias("n")).collect()
     return {(r["w"], r["gram"]): r["n"] for r in rows}
 
 
@@ -241,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share: f
                     columns = [ids.take(pa.array([f[0] for f in found])), pa.array([shared.value.ids[f[1]] for f in found], pa.int64()), *(pa.array([f[k] for f in found], t) for k, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64())))]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "start_word", "n_words"])
 
-        part = texts.mapInArrow(run, schema)
+        part = map_batches(texts, run, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -260,5 +261,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 3, share:
                 keep[[f[0] for f in _matches(*hash_words(lump), shared.value, least_score)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_batches(out, run, docs.schema)
     return out

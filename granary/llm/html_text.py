@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.llm.scratch import map_batches
+
 # HTML's tag names, by what they mean for a block.
 BREAKING = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -221,7 +223,7 @@ def stop_words(pages: DataFrame, share: float = 0.3) -> tuple[frozenset[str], fr
                     counts.clear()
         yield counted()
 
-    found = pages.where(F.length("html") > 0).select("html").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    found = map_batches(pages.where(F.length("html") > 0).select("html"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     total = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("lang"))
     kept = found.where("n > 1").withColumn("pages", total).where((F.col("word") != "") & (F.col("n") >= share * F.col("pages"))).select("lang", "word").collect()
     return frozenset(r["word"] for r in kept), frozenset(r["lang"] for r in kept)
@@ -247,4 +249,4 @@ def extracted(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
                 texts = [main_text(x.as_py() or "", shared.value) for x in batch.column(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*names, "text"])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)

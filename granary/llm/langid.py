@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.scratch import map_batches
+
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _BATCH = 128
@@ -123,7 +125,7 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
                         langs[i], scores[i] = m.languages[k], round(float(s), 6)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)
 
 
 def held_out(doc_id) -> F.Column:

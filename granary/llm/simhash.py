@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.components import connected_components
-from granary.llm.scratch import written
+from granary.llm.scratch import map_batches, written
 from granary.llm.shingle_sets import alike, sketches
 
 _LOW = 0x5555555555555555
@@ -58,7 +58,7 @@ def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
             fps = [fingerprint((t.as_py() or "").encode("utf-8", "replace"), width) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "fp"])
 
-    return kept.mapInArrow(run, schema)
+    return map_batches(kept, run, schema)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import shared_path
+from granary.llm.scratch import map_batches, shared_path
 
 _HEAD = struct.Struct("<4sBIIQ")
 BLOCK_IDS = 4096
 #: Characters of text for a file.
 FILE_CHARS = 4 << 20
 #: Words, and pieces of words, whose ids a Python worker remembers.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 150_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -226,7 +226,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
         if parts:
             yield flush()
 
-    ranged.mapInArrow(run, "least long, seq int, n_ids long, doc_ids array<long>, file binary").write.parquet(f"{path}/files")
+    map_batches(ranged, run, "least long, seq int, n_ids long, doc_ids array<long>, file binary").write.parquet(f"{path}/files")
     # A file stands for megabytes of text: the sums run in one window over a small row for each.
     order = Window.orderBy(F.col("least").asc_nulls_first(), "seq")
     sizes = docs.sparkSession.read.parquet(f"{path}/files").select("least", "seq", "n_ids")
@@ -249,7 +249,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 lengths = pa.array(np.concatenate(([0], np.cumsum(file.lengths[a:b]))), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), pa.array(start + file.first[a:b], pa.int64()), pa.ListArray.from_arrays(lengths, pa.array(span, pa.int64()))], ["doc_id", "start", "ids"])
 
-    return _stored(spark, path).mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return map_batches(_stored(spark, path), run, "doc_id long, start long, ids array<long>")
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -265,7 +265,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
             columns = (doc_ids, start + file.first[:-1], file.lengths, crcs)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _stored(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_batches(_stored(spark, path), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _files(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list, TokenFile]]:
