@@ -2,11 +2,17 @@
 
 Two sets share the minimum of a random order of shingles with a chance of
 their Jaccard similarity J. Of 120 such minima, 20 bands of 6 name a cell
-each: at J = 0.8 a pair meets with a chance of 0.998, at 0.9 of 0.9999999. In a
-cell every member is paired with the least and the greatest member first, which
-connects most copies by linearly many pairs. Then all other pairs of a cell
-are tried whose members these links haven't connected yet. Every pair is
-decided by its two whole sets.
+each: at J = 0.8 a pair meets with a chance of 0.998, at 0.9 of 0.9999999. Every
+pair is decided by its two whole sets.
+
+No cell's pairs are all tried. Its members meet the least and the greatest
+first, which connects most copies by linearly many pairs. Of the cells that
+these links leave unconnected, all members meet the one whose set holds the
+fewest shingles of its own, found in no other set: of copies that were edited
+each in its own way that is the original. What remains is settled by counting:
+a set's own shingles are in no common part, so they bound its similarity to
+any other; members that the bound rules out for all of a cell's sizes go, and
+only pairs that it allows, in cells that are still unconnected, are tried.
 
 Texts with equal sets are one member: the smallest doc_id stands for them.
 """
@@ -91,29 +97,54 @@ def sketches(docs: DataFrame, width: int = 5, also: dict[str, Callable[[bytes],
     return _mapped(docs, width, added, lambda text, shingles: (*_sketch(shingles), *(f(text) for f in more.values())))
 
 
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, shingles) of those rows of ``docs`` whose doc_id is in ``ids``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return written(_mapped(texts, width, {"shingles": "array<long>"}, lambda _, shingles: (shingles.view(np.int64),)), "shingles")
+
+
 def _near(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets have the similarity."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    sets = written(_mapped(texts, width, {"shingles": "array<long>"}, lambda _, shingles: (shingles.view(np.int64),)), "shingles")
+    sets = _sets(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), width)
     a, b = sets.toDF("a", "sa").hint("merge"), sets.toDF("b", "sb").hint("merge")
     common = F.size(F.array_intersect("sa", "sb"))
     near = pairs.join(b, "b").join(a, "a").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
     return written(near.select("a", "b").distinct(), "near")
 
 
-def _unconnected(crowded: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) within a cell of ``crowded`` (m, band, cell) that ``links`` don't connect and whose sizes allow the similarity."""
-    roots = connected_components(links)
-    placed = crowded.join(roots, F.col("m.id") == F.col("node"), "left").select("band", "cell", F.col("m.id").alias("id"), F.col("m.n").alias("n"), F.coalesce("root", "m.id").alias("root"))
-    open_cells = placed.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 < r1")
-    dealt = placed.join(open_cells.select("band", "cell", F.ceil(F.col("members") / _CROWD).alias("k")).hint("merge"), ["band", "cell"])
+def _open(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """The members (band, cell, id, n, root, and others) of those cells of ``crowded`` that ``links`` leave unconnected."""
+    placed = crowded.drop("root").join(connected_components(links), F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
+    cells = placed.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band", "cell")
+    return written(placed.join(cells.hint("merge"), ["band", "cell"], "left_semi"), "open")
+
+
+def _own_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """(id, own): how many shingles of each member's set no other member's set holds; none, if it is not listed."""
+    sets = _sets(docs, written(members.select(F.col("id").alias("doc_id")).distinct(), "ids"), width)
+    held = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other"))
+    return held.where("id = other").groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _least_alike(common, n, m, similarity: float):
+    """Whether sets of n and m shingles with so many in common at most can have the similarity."""
+    return common >= similarity * (n + m - common)
+
+
+def _rest(members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``members`` (band, cell, id, n, own, root) of one cell and different roots that can have the similarity."""
+    sizes = members.groupBy("band", "cell").agg(F.min("n").alias("least"))
+    shared = F.col("n") - F.col("own")
+    other = F.greatest(shared, F.col("least"), F.ceil(similarity * F.col("n")))
+    live = members.join(sizes.hint("merge"), ["band", "cell"]).where(_least_alike(shared, F.col("n"), other, similarity)).drop("least")
+    cells = live.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 < r1")
+    dealt = live.join(cells.select("band", "cell", F.ceil(F.col("members") / _CROWD).alias("k")).hint("merge"), ["band", "cell"])
     dealt = written(dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.col("k"))), "crowds")
-    side = lambda i, j, by: dealt.select("band", "cell", i, j, F.struct("id", "n", "root").alias(by))
+    side = lambda i, j, by: dealt.select("band", "cell", i, j, F.struct("id", "n", "own", "root").alias(by))
     x = side(F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"), "x")
     y = side(F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"), "y")
-    met = x.hint("merge").join(y, ["band", "cell", "i", "j"]).where("(i < j OR x.id < y.id) AND x.root != y.root")
-    met = met.where(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    common = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+    met = x.hint("merge").join(y, ["band", "cell", "i", "j"]).where("(i < j OR x.id < y.id) AND x.root != y.root").where(_least_alike(common, F.col("x.n"), F.col("y.n"), similarity))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
@@ -136,9 +167,17 @@ def alike(docs: DataFrame, sketched: DataFrame, width: int = 5, similarity: floa
     met = met.where(F.least("m.n", "o.n") >= similarity * F.greatest("m.n", "o.n"))
     pairs = written(met.select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct(), "pairs")
     near = _near(docs, pairs, width, similarity)
-    crowded = crowded.where("members > 3").select("m", "band", "cell")  # of three all pairs have met
-    if not crowded.isEmpty():
-        rest = written(_unconnected(crowded, near, similarity).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    crowded = crowded.where("members > 3").select("m.*", "band", "cell")  # of three all pairs have met
+    met_before = pairs
+    still = _open(crowded, near)
+    if not still.isEmpty():
+        still = written(still.join(_own_shingles(docs, still, width), "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "counted")
+        hubs = still.groupBy("band", "cell").agg(F.min(F.struct("own", "id", "root", "n")).alias("h"))
+        tried = still.join(hubs.hint("merge"), ["band", "cell"]).where("root != h.root").where(F.least("n", "h.n") >= similarity * F.greatest("n", "h.n"))
+        tried = tried.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
+        tried = written(tried.join(met_before.hint("merge"), ["a", "b"], "left_anti"), "tried")
+        near, met_before = near.unionByName(_near(docs, tried, width, similarity)), met_before.unionByName(tried)
+        rest = written(_rest(_open(still, near), similarity).join(met_before.hint("merge"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             near = near.unionByName(_near(docs, rest, width, similarity))
     return near.select("a", "b").unionByName(same.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).distinct()

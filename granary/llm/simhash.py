@@ -49,8 +49,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with fp (long) added, in the place of a column of that name; a null text has no words."""
-    kept = docs.select(*(f"`{c}`" for c in docs.columns if c != "fp"))
-    at = kept.columns.index("text")
+    kept = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != "fp"))
+    at = [c.lower() for c in kept.columns].index("text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "fp long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,9 @@ def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2, similarity:
     lone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
     packed = docs.select(F.struct("*").alias("row"))
     key, order = F.col("row.doc_id"), F.xxhash64("row")
-    named = packed.join(heads, key == F.col("component_id"), "left_semi").withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+    # Straight after the scan, so that Spark keeps the first row of each key in every task before it shuffles: a key may have very many rows.
+    first = lambda rows, by: rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("n = 1")
+    named = first(packed.where(key.isNotNull()), key).join(heads, key == F.col("component_id"), "left_semi")
     loose = with_fingerprint(packed.where(key.isNull()).select("row", F.col("row.text").alias("text")), width)
-    loose = loose.join(lone, "fp", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("fp").orderBy(order)))
-    return named.where("n = 1").select("row.*").unionByName(loose.where("n = 1").select("row.*"))
+    loose = first(loose, F.col("fp")).join(lone, "fp", "left_semi")
+    return named.select("row.*").unionByName(loose.select("row.*"))
