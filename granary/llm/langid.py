@@ -39,6 +39,7 @@ class Model:
     landmarks: np.ndarray  # features x landmarks, 0/1 over the root of the landmark's count
     weights: np.ndarray  # landmarks x languages, the whitening folded in
     bias: np.ndarray
+    rest: np.ndarray  # each language's mean target: what a text without any evidence is given
 
     def scores(self, texts: list[str]) -> np.ndarray:
         kernel = presence(texts, self.sizes, self.features) @ self.landmarks
@@ -59,53 +60,71 @@ def presence(texts: list[str], sizes: tuple[int, ...], features: int) -> np.ndar
     return out
 
 
-def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 128, sizes: tuple[int, ...] = (1, 2, 3), features: int = 1 << 13, ridge: float = 0.1, sample_chars: int = 4000, seed: int = 7) -> Model:
+def sampled(docs: DataFrame, per_language: int, sizes: tuple[int, ...], features: int, seed: int) -> list[tuple[str, bytes]]:
+    """(lang, which n-grams are present, packed) of the sampled texts, by language and hash. Texts stay in their tasks; the driver gets ``features`` bits of each."""
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    hashed = known.select("lang", F.xxhash64(F.lit(seed), "text").alias("h"), "text")
+    # A third of all rows may be of one language: each of per_language salts keeps its first hash, so that many at most meet.
+    few = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(per_language)).alias("salt")).agg(F.min("h").alias("h")).select("lang", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
+                part = batch.slice(at, _BATCH)
+                bits = np.packbits(presence(part.column(2).to_pylist(), sizes, features) > 0, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "h", "bits"])
+
+    # The hashes are per_language rows for a language at most: a bound that the parameters set.
+    chosen = map_batches(hashed.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", "text"), run, "lang string, h long, bits binary")
+    rows = chosen.groupBy("lang", "h").agg(F.min("bits").alias("bits")).collect()
+    return [(r["lang"], bytes(r["bits"])) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
+
+
+def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 128, sizes: tuple[int, ...] = (1, 2, 3), features: int = 1 << 13, ridge: float = 0.1, seed: int = 7) -> Model:
     """Learn from ``docs`` (text, lang); rows with a null in either, or no letter, take no part.
 
-    The bounded sample: of each language the ``per_language`` rows whose
-    hashed text comes first, and of each of these texts the first
-    ``sample_chars`` characters. ``features`` is a power of two. Landmarks are
-    the first sampled texts, as many of each language. The sample's own hash
-    decides, so reruns agree and repeated texts count once.
+    The bounded sample: of each language ``per_language`` rows at most, those
+    whose hashed text is the least of its remainder modulo that number; whole
+    texts. ``features`` is a power of two. Landmarks are the first sampled
+    texts, as many of each language. The texts' own hash decides, so reruns
+    agree and repeated texts count once. Without a usable row the model knows
+    no language.
     """
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    ranked = known.select(F.col("lang"), F.xxhash64(F.lit(seed), "text").alias("h"), F.substring("text", 1, sample_chars).alias("text"))
-    # A third of all rows may be of one language: each salt keeps its first rows, and only these meet.
-    few = ranked.groupBy("lang", F.pmod(F.col("h"), F.lit(per_language)).alias("salt")).agg(F.min(F.struct("h", "text")).alias("x"))
-    rows = few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("x")), 1, per_language).alias("rows")).collect()
-    rows.sort(key=lambda r: r["lang"])
-    languages = [r["lang"] for r in rows]
-    texts = [x["text"] for r in rows for x in r["rows"]]
-    of = np.array([k for k, r in enumerate(rows) for _ in r["rows"]], dtype=np.int64)
+    rows = sampled(docs, per_language, sizes, features, seed)
+    languages = sorted({lang for lang, _ in rows})
+    of = np.array([languages.index(lang) for lang, _ in rows], dtype=np.int64)
     if not languages:
-        return Model([], sizes, features, np.zeros((features, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
+        return Model([], sizes, features, np.zeros((features, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
+    present = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in rows]).astype(np.float32)
+    present /= np.sqrt(np.maximum(1, present.sum(axis=1, keepdims=True)))
     share = max(1, landmarks // len(languages))
-    chosen = np.concatenate([np.flatnonzero(of == k)[:share] for k in range(len(languages))])
-    marks = presence([texts[i] for i in chosen], sizes, features)
+    marks = present[np.concatenate([np.flatnonzero(of == k)[:share] for k in range(len(languages))])]
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = np.concatenate([presence(texts[i : i + _BATCH], sizes, features) @ marks.T for i in range(0, len(texts), _BATCH)]).astype(np.float64) @ whiten
+    phi = (present @ marks.T).astype(np.float64) @ whiten
     target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     phi_mean, target_mean = phi.mean(axis=0), target.mean(axis=0)
     centred = phi - phi_mean
     solved = np.linalg.solve(centred.T @ centred + ridge * np.eye(phi.shape[1]), centred.T @ (target - target_mean))
-    return Model(languages, sizes, features, np.ascontiguousarray(marks.T), (whiten @ solved).astype(np.float32), (target_mean - phi_mean @ solved).astype(np.float32))
+    return Model(languages, sizes, features, np.ascontiguousarray(marks.T), (whiten @ solved).astype(np.float32), (target_mean - phi_mean @ solved).astype(np.float32), target_mean)
 
 
 def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1) added, under ``names``, in the place of columns so named.
 
     The language of the highest regression value; ties go to the first by
-    name. score is the softmax of the values, sharpened, at that language, to six
-    places: beyond them it depends on which texts share a batch.
+    name. score is how far that value is on its way from the language's mean
+    target (0) to a member's (1), however many languages there are, to six
+    places: beyond them it depends on which texts share a batch. A model of one
+    language gives it to every text, with score 1.
     A null text, a text without a letter, or a model that has learnt no
     language gives ``und`` with score 0. Whole texts are read. Only ``text``
     is looked at; all other columns pass through, repeated rows too.
     """
-    spark, columns = docs.sparkSession, [c for c in docs.columns if c not in names]
+    spark, columns = docs.sparkSession, [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     kept = docs.select(*(f"`{c}`" for c in columns))
-    shared = spark.sparkContext.broadcast(model)
+    shared, at_text = spark.sparkContext.broadcast(model), [c.lower() for c in kept.columns].index("text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,15 +132,14 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
         for whole in batches:
             for at in range(0, whole.num_rows, _BATCH):
                 batch = whole.slice(at, _BATCH)
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                texts = batch.column(at_text).to_pylist()
                 good = [i for i, t in enumerate(texts) if t is not None and m.languages and _LETTER.search(t)]
                 langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if good:
                     values = m.scores([texts[i] for i in good]).astype(np.float64)
                     best = values.argmax(axis=1)
-                    soft = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
-                    top = 1 / soft.sum(axis=1)
-                    for i, k, s in zip(good, best, top):
+                    way = (values.max(axis=1) - m.rest[best]) / np.maximum(1 - m.rest[best], 1e-9) if len(m.languages) > 1 else np.ones(len(good))
+                    for i, k, s in zip(good, best, np.clip(way, 0, 1)):
                         langs[i], scores[i] = m.languages[k], round(float(s), 6)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 

@@ -55,11 +55,13 @@ def release_memory() -> None:
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in batches of bounded size; memory is given back when a task ends."""
     bound_batches(df.sparkSession)
+    names = df.columns
 
     def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from run(batches)
+            yield from run(b.rename_columns(names) for b in batches)
         finally:
             release_memory()
 
-    return df.mapInArrow(freed, schema)
+    # PySpark looks the columns up by name here, and would take a dot in one for a field's.
+    return df.toDF(*(f"_{i}" for i in range(len(names)))).mapInArrow(freed, schema)

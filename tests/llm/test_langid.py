@@ -56,3 +56,50 @@ def test_nothing_learnt_and_empty_tables(spark):
     assert L.identified(spark.createDataFrame([], DOCS)).count() == 0
     one = spark.createDataFrame([(i, "some words here", "en") for i in range(9)], DOCS)
     assert {r["lang_pred"] for r in L.identified(one).collect()} == {"en"}
+
+
+def test_predictions_match_a_brute_force_kernel_ridge(spark):
+    rng = np.random.default_rng(4)
+    words = {"aa": ["the", "cat", "dog", "house"], "bb": ["der", "hund", "katze", "haus"], "cc": ["le", "chat", "chien", "maison"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 9)) + f" x{i}", lang) for i in range(90) for lang in [list(words)[i % 3]]]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.predict(docs, L.fit(docs, per_language=20, landmarks=12)).collect()}
+
+    def grams(text):  # cells of the n-grams that are present
+        padded, cells = f" {' '.join(text.lower().split())} ", set()
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                h = 0
+                for k, c in enumerate(padded[i : i + n], 1):
+                    h = (h * 0x100000001B3 + ord(c) + k if k > 1 else ord(c) + 1) % 2**64
+                cells.add(h * 0x9E3779B97F4A7C15 % 2**64 >> 51)
+        return cells
+
+    kernel = lambda x, y: len(x & y) / np.sqrt(len(x) * len(y))
+    hashed = {r["doc_id"]: r["h"] for r in docs.selectExpr("doc_id", "xxhash64(7, text) AS h").collect()}
+    best: dict[tuple[str, int], tuple[int, str]] = {}
+    for i, text, lang in rows:
+        key = (lang, hashed[i] % 20)
+        best[key] = min(best.get(key, (2**63, "")), (hashed[i], text))
+    sample = sorted((lang, h, text) for (lang, _), (h, text) in best.items())
+    marks = [grams(t) for lang in words for t in [t for x, _, t in sample if x == lang][:4]]
+    x = np.array([[kernel(grams(t), m) for m in marks] for _, _, t in sample])
+    w, v = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    half = v @ np.diag(w**-0.5)
+    y = np.array([[1 if lang == k else -1 for k in words] for lang, _, _ in sample], dtype=float)
+    phi = x @ half
+    beta = np.linalg.solve((phi - phi.mean(0)).T @ (phi - phi.mean(0)) + 0.1 * np.eye(len(marks)), (phi - phi.mean(0)).T @ (y - y.mean(0)))
+    for i, text, _ in rows:
+        value = (np.array([kernel(grams(text), m) for m in marks]) @ half - phi.mean(0)) @ beta + y.mean(0)
+        k = int(value.argmax())
+        score = np.clip((value[k] - y.mean(0)[k]) / (1 - y.mean(0)[k]), 0, 1)
+        assert got[i][0] == list(words)[k] and abs(got[i][1] - score) < 1e-3
+
+
+def test_clashing_names_of_any_case_and_long_training_texts(spark):
+    docs = train(spark).selectExpr("doc_id", "text AS Text", "lang", "0 AS LANG_PRED", "1 AS `a.b`")
+    out = L.predict(docs, L.fit(docs))
+    assert out.columns == ["doc_id", "Text", "lang", "a.b", "lang_pred", "score"] and out.where("lang_pred = lang").count() == 60
+    late = [(i, "12 " * 3000 + ("the cat and the dog" if i % 2 else "der hund und die katze"), "en" if i % 2 else "de") for i in range(40)]
+    long = spark.createDataFrame(late, DOCS)  # what tells the languages apart begins after 9,000 characters
+    assert L.predict(long, L.fit(long)).where("lang_pred = lang").count() == 40
