@@ -8,9 +8,10 @@ interval of slot numbers as wide as its target; the van der Corput sequence
 every source in about its share. The k-th visit to a source takes its k-th
 block, so schedule and blocks meet in an equi-join.
 
-Running sums, over a source's documents or its slots, are taken in two steps:
-within hash ranges of bounded size, and over the ranges' sums. So no source,
-however large, is one group of rows.
+Running sums, over a source's documents or its slots, are taken in three steps:
+within hash ranges of bounded size, over the sums of some thousand neighbouring
+ranges, and over the sums of these. So no source, however large, is one group of
+rows: at 10^12 rows of one source the last step has some 60,000.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 256
 #: Rows that share a range in a running sum, about.
 RANGE_ROWS = 2048
+#: Ranges whose sums share a second range: 2 to this power.
+_WIDE_BITS = 13
 _HASH_BITS = 60
 
 
@@ -42,9 +45,12 @@ def _running(rows: DataFrame, order: list[str], value: str, into: str) -> DataFr
     """Add ``into``: the sum of ``value`` over the rows of the same sid before this one, by (part, *order); and rn, the row's number in its (sid, part)."""
     inner = Window.partitionBy("sid", "part").orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("sid", "part").agg(F.sum(value).alias("s"))
-    starts = sums.select("sid", "part", (F.sum("s").over(over) - F.col("s")).alias("before"))
+    sums = rows.groupBy("sid", "part").agg(F.sum(value).alias("s")).withColumn("wide", F.shiftright("part", _WIDE_BITS))
+    wide = sums.groupBy("sid", "wide").agg(F.sum("s").alias("s"))
+    upto_before = lambda by, order: F.sum("s").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("s")
+    wide = wide.select("sid", "wide", upto_before(["sid"], "wide").alias("far"))
+    starts = sums.select("sid", "wide", "part", upto_before(["sid", "wide"], "part").alias("near")).join(wide.hint("merge"), ["sid", "wide"])
+    starts = starts.select("sid", "part", (F.col("far") + F.col("near")).alias("before"))
     within = rows.withColumns({"rn": F.row_number().over(inner), "within": F.sum(value).over(upto) - F.col(value)})
     # Spark guesses exploded rows to be as few as those they come from, and would broadcast them: merge instead.
     return within.join(starts.hint("merge"), ["sid", "part"]).withColumn(into, F.col("before") + F.col("within")).drop("before", "within")
@@ -92,21 +98,26 @@ def schedule(sources: DataFrame) -> DataFrame:
     return ranked.select("turn", "sid", "k", F.least(F.lit(BLOCK_WORDS), F.col("quota") - F.col("k") * BLOCK_WORDS).alias("words"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of every row; a null text has size 0."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size), and ``more`` columns, of every row; a null text has size 0."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(), *more)
 
 
-def pieces(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+
+
+def pieces(rows: DataFrame, sources: DataFrame, seed: int, order: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``rows`` (doc_id, source, size, and any others) with its place in its source's stream, once for each block that holds words of it.
 
     Adds part and rn, which with sid name the row; k and words, the block and
     how many of the row's words it holds (null for a row that gives none).
+    ``order`` names columns that put rows of one doc_id and size in order.
     """
     bits = _range_bits(rows.count())
     named = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     placed = named.withColumn("h", shuffle_hash(F.col("doc_id"), seed)).withColumn("part", F.shiftright("h", _HASH_BITS - bits))
-    placed = _running(placed, ["h", "doc_id", "size"], "size", "off")
+    placed = _running(placed, ["h", "doc_id", "size", *order], "size", "off")
     blocks = F.expr(f"""
         flatten(transform(
             filter(transform(sequence(0, {MOST_REPEATS - 1}), c -> c * source_size + off), x -> size > 0 AND x < quota),
@@ -128,34 +139,38 @@ def mixed(docs: DataFrame, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     null ids take part with their size; repeated rows each do; an empty table
     gives no rows; other columns are ignored. Reruns agree.
     """
-    rows = written(sized(docs), "sizes")
-    sources = written(targets(rows), "targets")
-    parts = pieces(rows, sources, seed)
-    slots = schedule(sources).withColumnRenamed("words", "room")
-    filled = parts.join(slots.hint("merge"), ["sid", "k"], "left")
-    taken = filled.groupBy("sid", "part", "rn", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("turn").isNotNull(), F.col("words"))), F.lit(0)).alias("taken"))
+    filled = _filled(written(sized(docs), "sizes"), seed)
+    taken = filled.groupBy("sid", "part", "rn", "doc_id", "size", "source_size", "target").agg(_taken())
     return (
         filled.where(F.col("turn").isNotNull()).select("turn", "sid", "k", "doc_id", "words"),
         taken.select("doc_id", "size", "source_size", "target", "taken"),
     )
 
 
+def _filled(rows: DataFrame, seed: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`pieces` of ``rows`` with the turn that takes each, null if none does."""
+    sources = written(targets(rows), "targets")
+    slots = schedule(sources).withColumnRenamed("words", "room")
+    return pieces(rows, sources, seed, order).join(slots.hint("merge"), ["sid", "k"], "left")
+
+
+def _taken() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("turn").isNotNull(), F.col("words"))), F.lit(0)).alias("taken")
+
+
 def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of the mix: every row of ``docs``, all columns, as often as its taken words fill it, rounded to the nearest whole.
 
     A mix takes most documents whole, none, or whole several times; only the
     one at which a source's target is reached is cut, and rounded here.
     """
-    _, taken = mixed(docs, seed)
-    key = ["id", "no_id", "size"]
-    # Rows that share an id and a size are told apart by nothing that the mix uses: they share their copies, most first.
-    times = taken.where("taken > 0").select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("no_id"), "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("n"))
-    times = times.groupBy(*key).agg(F.sort_array(F.collect_list("n"), asc=False).alias("n"))
-    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
-    packed = docs.select(F.struct("*").alias("row"))
-    keyed = packed.withColumns({"id": F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0)), "no_id": F.isnull("row.doc_id"), "size": size}).join(times, key)
-    rows = keyed.withColumn("i", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row"))))
-    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.coalesce(F.try_element_at("n", F.col("i")), F.lit(0))))).select("row.*")
+    # Each row has a number in a written table, so that no id, null or repeated, is a key that rows share.
+    rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
+    plain = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"), "n", F.xxhash64("row").alias("by"))
+    sizes = written(sized(plain, "n", "by"), "sizes")
+    times = _filled(sizes, seed, ("by",)).groupBy("n", "size").agg(_taken())
+    times = times.where("taken > 0").select("n", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")
+    return rows.join(times, "n").withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE_SQL = f"""

@@ -101,3 +101,16 @@ def test_empty_table(spark):
 def test_only_words_less_tables(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", None), (None, " ", "a")], DOCUMENTS)
     assert sorted((tuple(r) for r in M.mixed(docs)[1].collect()), key=str) == sorted([(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0), (None, 0, 0, 0.0, 0)], key=str)
+
+
+def test_rows_without_ids_and_a_very_long_text(spark, monkeypatch):
+    monkeypatch.setattr(M, "RANGE_ROWS", 16)
+    monkeypatch.setattr(M, "_WIDE_BITS", 1)
+    rows = [(None, "w w", "a")] * 300 + [(7, "w w", "a")] * 300 + [(1, "w " * 400_000, "b"), (None, None, None), (2, "", "b")]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(4).withColumn("n", F.lit(5)).withColumn("by", F.lit("x"))
+    out = M.mix_rows(docs)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], r["source"]) for r in out.select("doc_id", "source").collect())
+    _, taken = M.mixed(docs)
+    words = {r["source_size"]: r["w"] for r in taken.groupBy("source_size").agg(F.sum("taken").alias("w")).collect()}
+    assert 2 * (got[None, "a"] + got[7, "a"]) == words[1200] == 3600 and got[1, "b"] == round(words[400_000] / 400_000)
