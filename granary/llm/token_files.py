@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ BLOCK_IDS = 4096
 FILE_CHARS = 4 << 20
 #: Words, and pieces of words, whose ids a Python worker remembers.
 CACHE_PIECES = 150_000
+_WIDE_BITS = 12
 
 
 def bits_for(vocabulary: int) -> int:
@@ -190,32 +192,31 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, vocabulary: int = 49408, file_chars: int = FILE_CHARS) -> None:
     """Write the ids of every row of ``docs`` (doc_id, text) as token files under ``path``, in ascending doc_id order.
 
-    ``path``/files has rows (least, seq, n_ids, doc_ids, file), ``path``/index
-    (least, seq, part, start): a file's place and the ids before it. Sampling cuts the documents by
+    ``path``/files has rows (range, seq, n_ids, doc_ids, file), ``path``/index
+    (range, seq, start): a file's place and the ids before it. Sampling cuts the documents by
     doc_id (nulls first) into ranges of about ``file_chars`` characters, one
-    or more files each; rows that share a doc_id are ordered by their texts.
-    Null texts are empty: only the end id. An empty table gives no file. Other
+    or more files each; rows that share a doc_id are ordered by a hash of their
+    texts, and may lie in several ranges, however many they are. Null texts are empty: only the end id. An empty table gives no file. Other
     columns are ignored. The tokenizer's file name is opened where a task runs.
     """
     bits = bits_for(vocabulary)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    ranged = texts.repartitionByRange(1 + size // file_chars, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = texts.withColumns({"h": F.xxhash64("text"), "m": F.monotonically_increasing_id()})
+    ranged = ordered.repartitionByRange(1 + size // file_chars, "doc_id", "h", "m").sortWithinPartitions("doc_id", "h", "m").drop("h", "m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path(tokenizer)).encode, np.array([end_id], dtype=np.uint32)
         doc_ids: list = []
         parts: list[np.ndarray] = []
-        held, seq, least = 0, 0, None
+        held, seq, number = 0, 0, TaskContext.get().partitionId()  # ranges are in order
 
         def flush() -> pa.RecordBatch:
-            columns = [pa.array([x], t) for x, t in ((least, pa.int64()), (seq, pa.int32()), (sum(map(len, parts)), pa.int64()), (doc_ids, pa.list_(pa.int64())), (to_file(parts, bits), pa.binary()))]
-            return pa.RecordBatch.from_arrays(columns, ["least", "seq", "n_ids", "doc_ids", "file"])
+            columns = [pa.array([x], t) for x, t in ((number, pa.int32()), (seq, pa.int32()), (sum(map(len, parts)), pa.int64()), (doc_ids, pa.list_(pa.int64())), (to_file(parts, bits), pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["range", "seq", "n_ids", "doc_ids", "file"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                if not doc_ids and not seq:
-                    least = doc_id.as_py()
                 ids = encode(text := text.as_py())
                 doc_ids.append(doc_id.as_py())
                 parts.append(np.concatenate((ids, end)))
@@ -226,17 +227,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json
         if parts:
             yield flush()
 
-    map_batches(ranged, run, "least long, seq int, n_ids long, doc_ids array<long>, file binary").write.parquet(f"{path}/files")
-    # A file stands for megabytes of text: the sums run in one window over a small row for each.
-    order = Window.orderBy(F.col("least").asc_nulls_first(), "seq")
-    sizes = docs.sparkSession.read.parquet(f"{path}/files").select("least", "seq", "n_ids")
-    sizes.select("least", "seq", F.row_number().over(order).alias("part"), (F.sum("n_ids").over(order) - F.col("n_ids")).alias("start")).write.parquet(f"{path}/index")
+    map_batches(ranged, run, "range int, seq int, n_ids long, doc_ids array<long>, file binary").write.parquet(f"{path}/files")
+    # Running sums in two steps: over some thousand ranges' files, and over the sums of these.
+    sizes = docs.sparkSession.read.parquet(f"{path}/files").select("range", "seq", "n_ids", F.shiftright("range", _WIDE_BITS).alias("wide"))
+    far = Window.orderBy("wide").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = Window.partitionBy("wide").orderBy("range", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wide = sizes.groupBy("wide").agg(F.sum("n_ids").alias("n")).select("wide", (F.sum("n").over(far) - F.col("n")).alias("before"))
+    starts = sizes.withColumn("within", F.sum("n_ids").over(near) - F.col("n_ids")).join(wide, "wide")
+    starts.select("range", "seq", (F.col("before") + F.col("within")).alias("start")).write.parquet(f"{path}/index")
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     """(start, doc_ids, file). Spark broadcasts the index while it is under its size threshold."""
     files, index = spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/index")
-    return files.join(index, files["least"].eqNullSafe(index["least"]) & (files["seq"] == index["seq"])).select("start", "doc_ids", "file")
+    return files.join(index, ["range", "seq"]).select("start", "doc_ids", "file")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm import token_files as T
@@ -84,11 +86,25 @@ def test_files_hold_what_the_library_encodes(spark, sample):
 def test_nulls_empties_repeats_and_other_columns(spark):
     rows = [(3, None), (1, ""), (None, "null id"), (2, "same"), (2, "same"), (2, "Other"), (5, "long text, " * 20_000)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, start int, file int")
-    order = [(None, "null id"), (1, ""), (2, "Other"), (2, "same"), (2, "same"), (3, None), (5, rows[-1][1])]
+    # rows of one id are in the order of their texts' hashes
+    by_hash = [(2, r["t"]) for r in spark.createDataFrame([("Other",), ("same",), ("same",)], "t string").orderBy(F.xxhash64("t")).collect()]
+    order = [(None, "null id"), (1, ""), *by_hash, (3, None), (5, rows[-1][1])]
     got = sorted((tuple(r) for r in T.written_digests(docs).collect()), key=lambda r: r[1])
     assert got == digests(order)
 
 
+def test_one_id_may_fill_many_files(spark):
+    docs = spark.range(0, 3000, 1, 6).selectExpr("7L AS doc_id", "CASE WHEN id % 3 = 0 THEN 'the same text' ELSE concat('text ', id) END AS text")
+    path = shared_path(spark, "tokens")
+    T.write_tokens(docs, path, file_chars=4000)
+    files = spark.read.parquet(f"{path}/files")
+    assert files.select("range").distinct().count() > 4 and files.agg(F.max(F.size("doc_ids"))).first()[0] < 1500
+    got = sorted(tuple(r)[1:] for r in T.token_digests(spark, path).collect())
+    assert [s + n for s, n, _ in got][:-1] == [s for s, _, _ in got][1:] and got[0][0] == 0
+    want = Counter(x[2:] for x in digests([(7, r["text"]) for r in docs.collect()]))
+    assert Counter(x[1:] for x in got) == want
+
+
 def test_empty_table(spark):
     out = T.written_digests(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
