@@ -1,6 +1,6 @@
 """Exact repeats across documents: fixed anchors, rolling probes, extension to maximal repeats.
 
-Texts are dealt into groups of bounded size by a hash of doc_id, so that one
+Texts are dealt into groups of bounded size by a hash of doc_id and text, so that one
 shuffle of the texts (which Spark reuses) serves all three passes and what a
 pass has to tell a document comes back under its group.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.scratch import bound_batches, release_memory
 from granary.llm.words import hash_words, windows
 
 #: Bytes and documents in a group, and words (one probe each) for a range of the hash space.
@@ -76,10 +77,21 @@ def _in_order(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return found
 
 
-def _ranges(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
-    """Bounds of n equal ranges of the key space within sorted keys."""
-    cuts = np.array([(i << bits) // n for i in range(1, n)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, cuts), [len(keys)]))
+def _ranges(keys: np.ndarray, bits: int, n: int) -> list[tuple[int, slice]]:
+    """Those of n equal ranges of the key space in which any of the sorted keys fall, and where these are."""
+    of = ((keys >> np.uint64(bits - 32)) * np.uint64(n)) >> np.uint64(32)
+    first = np.flatnonzero(np.diff(of, prepend=of[:1] + np.uint64(1)) != 0)
+    return [(int(of[a]), slice(a, b)) for a, b in zip(first, [*first[1:], len(of)])]
+
+
+def _by_hash(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both in the order of hash and document. Where a document's number fits beside the hash, one sort of integers does."""
+    if docs <= 1 << 64 - _PROBE_BITS:
+        tagged = h << np.uint64(64 - _PROBE_BITS) | doc.astype(np.uint64)
+        tagged.sort()
+        return tagged >> np.uint64(64 - _PROBE_BITS), tagged & np.uint64((1 << 64 - _PROBE_BITS) - 1)
+    order = np.lexsort((doc, h))
+    return h[order], doc[order]
 
 
 class _Group:
@@ -109,7 +121,8 @@ class _Group:
 
     def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, key = windows(self.hashes, self.first, self.width)
-        check = (windows(self.hashes, self.first, self.width, 1)[1] >> np.uint64(32)).astype(np.uint32)
+        other = hash_words(self.texts, 1)[0]
+        check = (windows(other, self.first, self.width, 1)[1] >> np.uint64(32)).astype(np.uint32)
         return starts, key, check
 
 
@@ -118,20 +131,17 @@ def _probe(width: int, n_ranges: int):
         group = _Group(rows, width)
         starts, h = group.probes()
         anchors = np.unique(h[(starts - group.first[group.doc[starts]]) % group.block == 0])
-        tagged = h << np.uint64(18) | (group.doc[starts].astype(np.uint64) & np.uint64((1 << 18) - 1))
-        tagged.sort()
-        h = tagged >> np.uint64(18)
+        h, doc = _by_hash(h, group.doc[starts], len(group.texts))
         new = np.flatnonzero(np.diff(h, prepend=h[:1] + np.uint64(1)) != 0) if len(h) else np.zeros(0, np.int64)
         many = np.zeros(len(new), dtype=bool)
         if len(h):
             last = np.concatenate((new[1:], [len(h)])) - 1
-            many = tagged[new] != tagged[last]
+            many = doc[new] != doc[last]
         found = h[new]
         keys = found << np.uint64(2) | _among(found, anchors)[0].astype(np.uint64) << np.uint64(1) | many.astype(np.uint64)
-        cuts = _ranges(keys, _PROBE_BITS + 2, n_ranges)
-        own = rows.column("g")[0].as_py()
-        full = [i for i in range(n_ranges) if cuts[i] < cuts[i + 1]]
-        return pa.table({"r": pa.array(full, pa.int32()), "g": pa.array([own] * len(full), pa.int32()), "data": pa.array([_pack(keys[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())})
+        spans, own = _ranges(keys, _PROBE_BITS + 2, n_ranges), rows.column("g")[0].as_py()
+        release_memory()
+        return pa.table({"r": pa.array([i for i, _ in spans], pa.int32()), "g": pa.array([own] * len(spans), pa.int32()), "data": pa.array([_pack(keys[s]) for _, s in spans], pa.binary())})
 
     return run
 
@@ -166,9 +176,9 @@ def _extend(width: int, n_ranges: int):
         new = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(check) != 0))))
         last = np.append(new[1:], len(key)) - 1
         key, check, ids, many = key[new], check[new], ids[new], (ids[last] > ids[new]).astype(np.uint8)
-        cuts, own = _ranges(key, 64, n_ranges), rows.column("g")[0].as_py()
-        spans = [(i, slice(cuts[i], cuts[i + 1])) for i in range(n_ranges) if cuts[i] < cuts[i + 1]]
+        spans, own = _ranges(key, 64, n_ranges), rows.column("g")[0].as_py()
         columns = ([i for i, _ in spans], [own] * len(spans), *([_planes(np.ascontiguousarray(x[s])) for _, s in spans] for x in (key, check, ids, many)))
+        release_memory()
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return run
@@ -185,11 +195,8 @@ def _first_ids(rows: pa.Table) -> pa.Table:
     tell = (many > 0) | (ids > least)
     gs, out = rows.column("g").to_pylist(), []
     for i, g in enumerate(gs):
-        s = tell & (part == i) if len(gs) < 8 else None
-        at = np.flatnonzero(s) if s is not None else None
-        if at is None:
-            lo, hi = np.searchsorted(part, i), np.searchsorted(part, i + 1)
-            at = lo + np.flatnonzero(tell[lo:hi])
+        lo, hi = np.searchsorted(part, (i, i + 1))
+        at = lo + np.flatnonzero(tell[lo:hi])
         if len(at):
             out.append((g, *(_planes(np.ascontiguousarray(x[at])) for x in (key, check, least))))
     return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate((("g", pa.int32()), ("keys", pa.binary()), ("checks", pa.binary()), ("ids", pa.binary())))})
@@ -226,6 +233,7 @@ def _remove(width: int):
             words = text.split()
             kept.append(b" ".join(words if not n_removed[-1] else [words[j] for j in np.flatnonzero(~cut)]).decode("utf-8", "replace"))
         n_words = np.diff(group.first).astype(np.int64)
+        release_memory()
         return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return run
@@ -243,10 +251,11 @@ def without_repeats(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     if width % 2:
         raise ValueError("the width is even: anchors are half a window")
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     n, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n_groups, n_ranges = 1 + max(size // GROUP_BYTES, n // GROUP_DOCS), 1 + size // (6 * RANGE_WORDS)
-    group = F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).cast("int")
+    group = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).cast("int")
     texts = texts.withColumn("g", group)
     probes = texts.groupBy("g").applyInArrow(_probe(width, n_ranges), "r int, g int, data binary")
     hot = probes.groupBy("r").applyInArrow(_hot, "g int, data binary")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from granary.llm import substring_dedup as S
@@ -73,3 +74,28 @@ def test_equal_windows_hash_alike_wherever_they_stand():
     starts, h = windows(hashes, first, 3)
     assert list(starts) == [0, 1, 4, 5, 6] and h[0] == h[3] and len(set(h)) == 4
     assert hashes[9] != hashes[10] == hashes[11]
+
+
+def test_words_that_a_polynomial_confuses_stay(spark):
+    for n in (1024, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        lead = " ".join(f"w{i}" for i in range(49))
+        rows = [(1, f"{lead} {word}"), (2, f"{lead} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{lead} {word}")]
+        assert got(spark, rows, 50) == brute(rows, 50)
+
+
+def test_very_many_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.range(300_000).selectExpr("CASE WHEN id = 5 THEN 1L END AS doc_id", f"CASE WHEN id IN (5, 299999) THEN '{passage}' ELSE concat('short ', id) END AS text")
+    out = S.without_repeats(docs)
+    assert out.count() == 300_000 and [tuple(r) for r in out.where("n_removed > 0").collect()] == [(None, 60, 60, "")]
+
+
+def test_documents_beyond_the_tag_are_told_apart():
+    h = np.array([5, 3, 5, 3], dtype=np.uint64)
+    for docs in (4, 1 << 19):
+        doc = np.array([docs - 1, 0, docs - 1 - (1 << 18) if docs > 1 << 18 else 1, 0])
+        hashes, found = S._by_hash(h, doc, docs)
+        assert hashes.tolist() == [3, 3, 5, 5] and found.tolist() == [0, 0, *sorted(doc[[0, 2]].tolist())]
