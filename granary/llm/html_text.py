@@ -7,14 +7,16 @@ out at once. The first pass decides the rest by their own figures: link
 density, length, and density of stop words, which are learnt as the words that
 very many pages hold; in an article or main element less is asked for. Short blocks may stay undecided. In the second pass an
 undecided block takes the label of its nearest decided neighbours: kept
-between two good ones, or next to a good one nearer than any bad one. Labels
-aren't handed across an article's border, which counts as good inside.
+between two good ones, or if the nearer of two is good; a page's edge is no
+neighbour. Labels aren't handed across an article's border, which counts as
+good inside.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -34,11 +36,15 @@ OUTSIDE_NAMES = frozenset("ad ads advert adverts advertisement banner breadcrumb
 # Tags at whose start an open one of the same set ends, as HTML lets the end tag be left out.
 IMPLIED_END = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_TAG_PART = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 _SPACES = re.compile(r"\s+")
-_LANG = re.compile(r'<html[^>]*\slang="?([a-z]{2})', re.I)
+_WORDS = re.compile(r"[^\W\d_]+")
+# Numeric references of more digits than any character has: Python refuses to read very long numbers.
+_ZEROS, _TOO_LONG = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
+_HTML_TAG, _LANG = re.compile(r"<html(?=\s)", re.I), re.compile(r'\slang\s*=\s*["\']?([a-z]{2})', re.I)
 #: Counted words that a task holds before it hands them on.
 _HELD = 1 << 17
 
@@ -79,64 +85,113 @@ def _outside(tag: str, attributes: str) -> bool:
     return False
 
 
+class _Scanner:
+    """The tags of a page in turn; each character is looked at a bounded number of times, however broken the markup."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, {}
+
+    def _find(self, what: str, start: int) -> int:
+        """Like str.find; where there is nothing more to find, that is known from then on."""
+        if start >= self.missing.get(what, len(self.page) + 1):
+            return -1
+        found = self.page.find(what, start)
+        if found < 0:
+            self.missing[what] = start
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``; quoted parts are skipped, but not from a quote that is never closed. -1: nowhere."""
+        while self._find(">", at) >= 0:
+            part = _TAG_PART.search(self.page, at)
+            if part[0] == ">":
+                return part.start()
+            closed = self._find(part[0], part.end())
+            at = part.end() if closed < 0 else closed + 1
+        return -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes); comments and declarations have no name. A tag or comment that the page breaks off in ends with the page, as a comment."""
+        page, at = self.page, 0
+        while (at := self._find("<", at)) >= 0:
+            start, closing = at, page.startswith("/", at + 1)
+            name = _TAG_NAME.match(page, at + 1 + closing)
+            if name:
+                end = self._tag_end(name.end())
+            elif page.startswith("<!--", at):
+                end = self._find("-->", at + 4)
+                end = end + 2 if end >= 0 else -1
+            elif page[at + 1 : at + 2] in ("!", "?", "/") and page[at + 1 : at + 2]:
+                end = self._find(">", at)
+            else:
+                at += 1
+                continue
+            at = end + 1 if end >= 0 else len(page)
+            yield (start, at, name[0].lower(), closing, page[name.end() : end]) if name and end >= 0 else (start, at, "", False, "")
+            if name and end >= 0 and not closing and name[0].lower() in RAW:  # nothing is a tag until its own end tag
+                last = re.compile(f"</{re.escape(name[0])}(?=[\\s/>])", re.I).search(page, at)
+                at = last.start() if last else len(page)
+
+
+def _decoded(parts: list[str]) -> str:
+    text = "".join(parts)
+    if "&#" in text:
+        text = _TOO_LONG.sub("\ufffd", _ZEROS.sub("&#", text))
+    return _SPACES.sub(" ", html.unescape(text)).strip()
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page that aren't in an element outside the article, in page order."""
+    """The blocks of a page that aren't in an element outside the article, in page order. Time is linear in the page."""
     found: list[Block] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is outside
+    opened: Counter[str] = Counter()
     out, article, links = 0, 0, 0
     parts: list[tuple[str, bool]] = []
-    tag_now, at, raw = "body", 0, None
+    tag_now, at, raw = "body", 0, False
 
-    def close(to: int) -> None:
+    def close() -> str:
         nonlocal out, article, links
-        while len(stack) > to:
-            name, was = stack.pop()
-            out -= was
-            article -= name in ("article", "main")
-            links -= name == "a"
+        name, was = stack.pop()
+        opened[name] -= 1
+        out -= was
+        article -= name in ("article", "main")
+        links -= name == "a"
+        return name
 
     def flush() -> None:
         if parts:
             # References are decoded over the whole block: an end of text inside one is none in the block.
-            text = _SPACES.sub(" ", html.unescape("".join(t for t, _ in parts))).strip()
+            text = _decoded([t for t, _ in parts])
             if text:
-                linked = len(_SPACES.sub(" ", html.unescape("".join(t for t, a in parts if a))).strip())
+                linked = len(_decoded([t for t, a in parts if a]))
                 found.append(Block(text, tag_now, linked, article > 0))
             parts.clear()
 
-    for token in _TOKEN.finditer(page):
-        if raw and not (token[1] and token[2].lower() == raw):
-            continue
-        if not raw and not out and token.start() > at:
-            parts.append((page[at : token.start()], links > 0))
-        at = token.end()
-        if token[2] is None:
+    for start, end, tag, closing, attributes in _Scanner(page).tags():
+        if not raw and not out and start > at:
+            parts.append((page[at:start], links > 0))
+        at, raw = end, False
+        if not tag:
             continue
-        tag, closing = token[2].lower(), bool(token[1])
-        raw = None
         if tag in BREAKING:
             flush()
             tag_now = "body" if closing else tag
         if closing:
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if opened is not None:
-                close(opened)
+            while opened[tag] and close() != tag:
+                pass
             continue
-        if tag in VOID or token[3].endswith("/"):
+        if tag in VOID or attributes.endswith("/"):
             continue
         if tag in IMPLIED_END and stack and stack[-1][0] in IMPLIED_END[tag]:
-            close(len(stack) - 1)
-        was = _outside(tag, token[3])
-        stack.append((tag, was or tag in RAW))
-        out += was or tag in RAW
+            close()
+        was, raw = _outside(tag, attributes), tag in RAW
+        stack.append((tag, was or raw))
+        opened[tag] += 1
+        out += was or raw
         article += tag in ("article", "main")
         links += tag == "a"
-        if tag in RAW:
-            raw = tag
-    rest = page[at:]
-    if not raw and not out and rest:
-        cut = rest.rfind("<")  # a tag that the page breaks off in
-        parts.append((rest if cut < 0 or not re.match(r"<[A-Za-z/!]", rest[cut:]) else rest[:cut], links > 0))
+    if not raw and not out and at < len(page):
+        parts.append((page[at:], links > 0))
     flush()
     return found
 
@@ -154,17 +209,18 @@ def first_pass(block: Block, rules: Rules) -> str:
         return "good" if stops >= rules.stop_low or not rules.stop_words else "?"
     if stops >= rules.stop_high or not rules.stop_words:
         return "good" if n > rules.long else "?"
-    return "?" if stops >= rules.stop_low else "bad"
+    return "?" if stops >= rules.stop_low or not block.linked else "bad"  # lists and names hold no stop words
 
 
 def _language(page: str) -> str:
-    tag = _LANG.search(page)
-    return tag[1].lower() if tag else ""
+    tag = _HTML_TAG.search(page)
+    found = _LANG.search(page, tag.end(), page.find(">", tag.end()) + 1 or len(page)) if tag else None
+    return found[1].lower() if found else ""
 
 
 def _share(block: Block, rules: Rules) -> float:
-    words = block.text.lower().split()
-    return sum(w in rules.stop_words for w in words) / len(words)
+    words = _WORDS.findall(block.text.lower())
+    return sum(w in rules.stop_words for w in words) / max(1, len(words))
 
 
 def main_text(page: str, rules: Rules) -> str:
@@ -175,8 +231,8 @@ def main_text(page: str, rules: Rules) -> str:
     for b in found:
         b.label = first_pass(b, rules)
     good = {id(b) for side in (True, False) for b in _second_pass([b for b in found if b.inside is side])}
-    if not good:  # nothing but short blocks: those that the page calls the article
-        good = {id(b) for b in found if b.inside and b.label == "?"}
+    if not good:  # nothing is decided for good: what the page calls the article, or else sentences
+        good = {id(b) for b in found if b.label == "?" and (b.inside or len(b.text) >= rules.short and _share(b, rules) >= rules.stop_low)}
     return "\n\n".join(b.text for b in found if id(b) in good)
 
 
@@ -184,7 +240,7 @@ def _second_pass(found: list[Block]) -> list[Block]:
     """The good blocks of ``found``: the article's or the others, so that labels aren't handed across its border."""
     n = len(found)
     before: list[tuple[str, int]] = []
-    edge = "good" if n and found[0].inside and any(b.label == "good" for b in found) else "bad"
+    edge = "good" if n and found[0].inside and any(b.label == "good" for b in found) else ""  # a page's edge is no neighbour
     last = (edge, -1)
     for i, b in enumerate(found):
         before.append((last[0], i - last[1]))
@@ -198,12 +254,12 @@ def _second_pass(found: list[Block]) -> list[Block]:
             last = (b.label, i)
             continue
         (left, near), (right, far) = before[i], (last[0], last[1] - i)
-        keep[i] = left == right == "good" or left != right and (near <= far if left == "good" else far <= near)
+        keep[i] = "good" in (left, right) and (left == right or not left or not right or (near <= far if left == "good" else far <= near))
     return [b for b, k in zip(found, keep) if k]
 
 
-def stop_words(pages: DataFrame, share: float = 0.3) -> tuple[frozenset[str], frozenset[str]]:
-    """Words of up to six letters that at least ``share`` of all pages with the same language tag hold, two pages at least, counted over whole pages; and the tags that have any. Pages without a tag are one group."""
+def stop_words(pages: DataFrame, share: float = 0.3, most_letters: int = 6) -> tuple[frozenset[str], frozenset[str]]:
+    """Words of up to ``most_letters`` letters that at least ``share`` of all pages with the same language tag hold, two pages at least, counted over whole pages; and the tags that have any. Pages without a tag are one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], int] = {}
@@ -215,7 +271,7 @@ def stop_words(pages: DataFrame, share: float = 0.3) -> tuple[frozenset[str], fr
         for batch in batches:
             for page in batch.column(0):
                 lang = _language(page := page.as_py())
-                words = {w for b in blocks(page) for w in b.text.lower().split() if len(w) <= 6 and w.isalpha()}
+                words = {w for b in blocks(page) for w in _WORDS.findall(b.text.lower()) if len(w) <= most_letters}
                 for w in (*words, ""):  # the empty word counts the pages
                     counts[lang, w] = counts.get((lang, w), 0) + 1
                 if len(counts) > _HELD:
@@ -238,7 +294,7 @@ def extracted(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     """
     rules = rules or Rules(*stop_words(pages))
     shared = pages.sparkSession.sparkContext.broadcast(rules)
-    kept = pages.select(*(c for c in pages.columns if c not in ("text", "html")), "html")
+    kept = pages.select(*(f"`{c}`" for c in pages.columns if c.lower() not in ("text", "html")), "html")
     names = kept.columns[:-1]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "text string"])
 

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+import time
+from collections import Counter
 
 import duckdb
 
@@ -90,3 +93,58 @@ def test_an_article_element_is_a_feature_and_no_switch():
     page = f"<main><p>{PROSE}</p>{links}<p>Read more</p>{links}<p>{PROSE}</p></main>"
     assert text(page) == f"{PROSE}\n\n{PROSE}"
     assert text("<article><h1>Hello</h1><p>Short.</p></article><div>Menu</div>") == "Hello\n\nShort."
+
+
+def test_labels_match_brute_force():
+    rng = random.Random(3)
+    for _ in range(400):
+        found = [H.Block(rng.choice(["x" * 10, PROSE, "nothing here " * 8, "the of and x y z " * 4]), rng.choice(["p", "h2"]), 0, False, rng.choice(["good", "bad", "?", "?"])) for _ in range(rng.randint(0, 9))]
+        want = []
+        for i, b in enumerate(found):
+            decided = [(abs(i - j), x.label == "bad", x.label, j > i) for j, x in enumerate(found) if j != i and x.label != "?"]
+            nearest = sorted(min((d for d in decided if d[3] is side), default=(99,)) for side in (False, True))
+            decided = [d[2] for d in nearest if len(d) > 1]
+            if b.label == "good" or b.label == "?" and decided and decided[0] == "good":
+                want.append(i)
+        kept = {id(b) for b in H._second_pass(found)}
+        assert [i for i, b in enumerate(found) if id(b) in kept] == want
+
+
+def test_first_pass_by_length_links_and_stop_words():
+    block = lambda text, linked=0, tag="p", inside=False: H.first_pass(H.Block(text, tag, linked, inside), RULES)
+    assert block(PROSE) == "good" and block(PROSE, len(PROSE)) == "bad" and block("Short.") == "?" and block(PROSE, tag="h2") == "?"
+    names = "Alpha Beta Gamma Delta Epsilon Zeta Eta Theta Iota Kappa"
+    assert block(names, 5) == "bad" and block(names) == "?" and block(names, inside=True) == "?"
+    assert block(PROSE[:100]) == "?" and block(PROSE[:100], inside=True) == "good"
+
+
+def test_pages_without_article_elements(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    bare = spark.read.parquet(path).selectExpr("page_id", "regexp_replace(html, '(</?)(article|main)>', '$1div>') AS html")
+    got = {r["page_id"]: Counter(filter(None, r["text"].split("\n\n"))) for r in H.extracted(bare).collect()}
+    hits = kept = there = 0
+    for i, page in duckdb.sql(f"select page_id, html from '{path}'").fetchall():
+        article = re.sub("</?b>", "", re.search("<article>(.*)</article>", page, re.S)[1])
+        want = Counter(filter(None, (re.sub(r"\s+", " ", html.unescape(p)).strip() for p in re.split("</?(?:p|h1|br)>", article))))
+        hits, kept, there = hits + (got[i] & want).total(), kept + got[i].total(), there + want.total()
+    assert hits >= 0.98 * kept and hits >= 0.93 * there
+
+
+def test_time_is_linear_in_broken_pages():
+    parts = {"<a ": "", "<b>": "</i>", '<a "': ">", "<!--": "", "<a '>": "", "<html": "", "<": "", '<p class="x': "", "&#" + "9" * 50: "", "<p>&#00000065;": "", "<script ": "</script", "<div>": "</span>"}
+    for head, tail in parts.items():
+        took = []
+        for n in (20_000, 80_000):
+            page = head * n + tail * n
+            began = time.process_time()
+            H.main_text(page, RULES)
+            took.append(time.process_time() - began)
+        assert took[1] < max(2.0, 10 * took[0]), head
+    assert text(f"<article><p>&#{'9' * 9000}; {PROSE} &#{'0' * 9000}65;</p></article>") == f"� {PROSE} A"
+    assert text(f"<article><p>{PROSE}</p><script>if (a<b && c='\"') x(\"<p>no</p>\")</script><p>{PROSE}</p></article>") == f"{PROSE}\n\n{PROSE}"
+
+
+def test_columns_of_any_name_pass_through(spark):
+    pages = spark.createDataFrame([(1, "u", f"<article><p>{PROSE}</p></article>", 7, "old")], PAGES + ", `a.b` int, Text string")
+    out = H.extracted(pages)
+    assert sorted(out.columns) == ["a.b", "page_id", "text", "url"] and out.first()["text"] == PROSE
