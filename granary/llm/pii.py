@@ -156,13 +156,12 @@ def occurrences(places: DataFrame, base: DataFrame) -> DataFrame:
     a_word = F.col("kind").isNull()
     # Words don't overlap, so the greatest start and end so far are those of the last one.
     placed = both.withColumns({"reach": F.max(F.when(~a_word, F.col("end"))).over(earlier), "at": F.max(F.when(a_word, F.col("start"))).over(upto), "to": F.max(F.when(a_word, F.col("end"))).over(upto)})
-    placed = placed.where((a_word & (F.coalesce("reach", F.lit(0)) <= F.col("start"))) | (~a_word & (F.col("start") < F.col("to"))))
-    one = placed.groupBy("row", "at").agg(
-        F.max(F.when(a_word, F.struct("start", "end", "word", "contexts"))).alias("w"),
-        F.min(F.when(~a_word, F.struct("start", "kind", "word"))).alias("b"),
-    )
-    secret = F.when(F.col("w.word").rlike(SECRET_SEED), F.lit(_SECRET))
-    return one.where("w IS NOT NULL").select("row", "w.start", "w.end", F.coalesce("b.word", "w.word").alias("word"), F.coalesce("b.kind", secret).alias("kind"), F.array_distinct("w.contexts").alias("contexts"))
+    kept = placed.where(a_word & (F.coalesce("reach", F.lit(0)) <= F.col("start"))).select("row", "at", "start", "end", "word", "contexts")
+    # Picked by number: an aggregate would copy what it holds, a long word perhaps, at each of a word's many spans.
+    inner = placed.where(~a_word & (F.col("start") < F.col("to"))).withColumn("n", F.row_number().over(Window.partitionBy("row", "at").orderBy("start", "kind")))
+    inner = inner.where("n = 1").select("row", "at", F.col("kind").alias("of"), F.col("word").alias("span"))
+    secret = F.when(F.col("word").rlike(SECRET_SEED), F.lit(_SECRET))
+    return kept.join(inner, ["row", "at"], "left").select("row", "start", "end", F.coalesce("span", "word").alias("word"), F.coalesce("of", secret).alias("kind"), F.array_distinct("contexts").alias("contexts"))
 
 
 def _fits(kind: Column, word: Column) -> Column:
