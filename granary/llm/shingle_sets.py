@@ -5,9 +5,8 @@ their Jaccard similarity J. Of 120 such minima, 20 bands of 6 name a cell
 each: at J = 0.8 a pair meets with a chance of 0.998, at 0.9 of 0.9999999. Every
 pair is decided by its two whole sets.
 
-No cell's pairs are all tried. Its members meet the least and the greatest
-first, which connects most copies by linearly many pairs. Of the cells that
-these links leave unconnected, all members meet the one whose set holds the
+No cell's pairs are all tried. Its members meet the least first, which connects
+most copies by linearly many pairs. Of the cells that these links leave unconnected, all members meet the one whose set holds the
 fewest shingles of its own, found in no other set: of copies that were edited
 each in its own way that is the original. What remains is settled by counting:
 a set's own shingles are in no common part, so they bound its similarity to
@@ -105,7 +104,8 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 
 def _near(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets have the similarity."""
-    sets = _sets(docs, written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids"), width)
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = _sets(docs, written(ids, "ids"), width)
     a, b = sets.toDF("a", "sa").hint("merge"), sets.toDF("b", "sb").hint("merge")
     common = F.size(F.array_intersect("sa", "sb"))
     near = pairs.join(b, "b").join(a, "a").where(common >= similarity * (F.size("sa") + F.size("sb") - common))
@@ -161,13 +161,12 @@ def alike(docs: DataFrame, sketched: DataFrame, width: int = 5, similarity: floa
     same = written(same.select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("cells")).alias("cells")), "sets")
     member = F.struct(F.col("doc_id").alias("id"), "n").alias("m")
     entered = same.where("cells IS NOT NULL").select(member, F.posexplode("cells").alias("band", "cell"))
-    ends = entered.groupBy("band", "cell").agg(F.min("m").alias("lo"), F.max("m").alias("hi"), F.count_distinct("m.id").alias("members")).where("members > 1")
+    ends = entered.groupBy("band", "cell").agg(F.min("m").alias("lo"), F.count_distinct("m.id").alias("members")).where("members > 1")
     crowded = written(entered.distinct().join(ends.hint("merge"), ["band", "cell"]), "crowded")
-    met = crowded.select("m", F.explode(F.array("lo", "hi")).alias("o")).where("m.id != o.id")
-    met = met.where(F.least("m.n", "o.n") >= similarity * F.greatest("m.n", "o.n"))
-    pairs = written(met.select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b")).distinct(), "pairs")
+    met = crowded.where("lo.id < m.id").where(F.least("m.n", "lo.n") >= similarity * F.greatest("m.n", "lo.n"))
+    pairs = written(met.select(F.col("lo.id").alias("a"), F.col("m.id").alias("b")).distinct(), "pairs")
     near = _near(docs, pairs, width, similarity)
-    crowded = crowded.where("members > 3").select("m.*", "band", "cell")  # of three all pairs have met
+    crowded = crowded.where("members > 2").select("m.*", "band", "cell")  # of two the only pair has met
     met_before = pairs
     still = _open(crowded, near)
     if not still.isEmpty():
