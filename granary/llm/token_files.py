@@ -40,7 +40,7 @@ BLOCK_IDS = 4096
 #: Characters of text for a file.
 FILE_CHARS = 4 << 20
 #: Words, and pieces of words, whose ids a Python worker remembers.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 _WIDE_BITS = 12
 
 
