@@ -83,3 +83,12 @@ def test_stages_on_nulls_repeats_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
     assert counts["language_id"] == 6 and counts["simhash_near_dedup"] == 4
     assert counts["benchmark_decontamination"] == counts["token_files"] == 8
+
+
+def test_a_language_that_was_not_learnt_is_rejected(spark):
+    en, de = "the cat and the dog went to the house of this man", "der hund und die katze gingen zu dem haus dieses mannes"
+    rows = [(i, f"{en if i % 2 else de} {i}", "en" if i % 2 else "de", "s", 1) for i in range(60)]
+    rows += [(100, "この文章は学習した言語では書かれていません。猫と犬は家に行きました。", None, "s", 1), (101, "the dog", None, "s", 1), (102, "der hund", None, "s", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    kept = {r["doc_id"] for r in dict(P.STAGES)["language_id"](spark, docs, SF).collect()}
+    assert kept == {*range(60), 101, 102}
