@@ -8,9 +8,10 @@ pair is decided by its two whole sets.
 No cell's pairs are all tried. Its members meet the least first, which connects
 most copies by linearly many pairs. Of the cells that these links leave unconnected, all members meet the one whose set holds the
 fewest shingles of its own, found in no other set: of copies that were edited
-each in its own way that is the original. What remains is settled by counting:
-a set's own shingles are in no common part, so they bound its similarity to
-any other; members that the bound rules out for all of a cell's sizes go, and
+each in its own way that is the original, the hub. What remains is settled by
+counting: what two sets have in common is no more than what each has in common
+with the hub, and what each has of other shingles that any unconnected set
+holds too. Members that this bound rules out for all of a cell's sizes go, and
 only pairs that it allows, in cells that are still unconnected, are tried.
 
 Texts with equal sets are one member: the smallest doc_id stands for them.
@@ -119,31 +120,45 @@ def _open(crowded: DataFrame, links: DataFrame) -> DataFrame:
     return written(placed.join(cells.hint("merge"), ["band", "cell"], "left_semi"), "open")
 
 
-def _own_shingles(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """(id, own): how many shingles of each member's set no other member's set holds; none, if it is not listed."""
-    sets = _sets(docs, written(members.select(F.col("id").alias("doc_id")).distinct(), "ids"), width)
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of each of ``sets`` (doc_id, shingles) no other holds; none, if it is not listed."""
     held = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other"))
     return held.where("id = other").groupBy("id").agg(F.count("*").alias("own"))
 
 
+def _with_hub(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, hub, of_hub, others) for each pair of a member and its cell's hub: how many shingles of the hub's set it holds, and its other ones."""
+    a, b = sets.toDF("id", "s").hint("merge"), sets.toDF("hub", "h").hint("merge")
+    met = members.select("id", "hub").distinct().join(a, "id").join(b, "hub")
+    return written(met.select("id", "hub", F.size(F.array_intersect("s", "h")).alias("of_hub"), F.size("s").alias("n"), F.size("h").alias("hub_n"), F.array_except("s", "h").alias("others")), "hubs")
+
+
+def _elsewhere(members: DataFrame, met: DataFrame) -> DataFrame:
+    """(id, hub, others): how many of each member's shingles that its hub lacks are also in a set of another root with that hub."""
+    placed = members.select("id", "hub", "root").distinct().join(met.select("id", "hub", "others").hint("merge"), ["id", "hub"])
+    each = placed.select("id", "hub", "root", F.explode("others").alias("shingle"))
+    apart = each.groupBy("hub", "shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("hub", "shingle")
+    return each.join(apart.hint("merge"), ["hub", "shingle"]).groupBy("id", "hub").agg(F.count("*").alias("others"))
+
+
 def _least_alike(common, n, m, similarity: float):
     """Whether sets of n and m shingles with so many in common at most can have the similarity."""
     return common >= similarity * (n + m - common)
 
 
 def _rest(members: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ``members`` (band, cell, id, n, own, root) of one cell and different roots that can have the similarity."""
+    """The pairs (a, b) of ``members`` (band, cell, id, n, root, of_hub, others) of one cell and different roots that can have the similarity."""
     sizes = members.groupBy("band", "cell").agg(F.min("n").alias("least"))
-    shared = F.col("n") - F.col("own")
+    shared = F.col("of_hub") + F.col("others")
     other = F.greatest(shared, F.col("least"), F.ceil(similarity * F.col("n")))
     live = members.join(sizes.hint("merge"), ["band", "cell"]).where(_least_alike(shared, F.col("n"), other, similarity)).drop("least")
     cells = live.groupBy("band", "cell").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("members")).where("r0 < r1")
     dealt = live.join(cells.select("band", "cell", F.ceil(F.col("members") / _CROWD).alias("k")).hint("merge"), ["band", "cell"])
     dealt = written(dealt.withColumn("at", F.pmod(F.xxhash64("id"), F.col("k"))), "crowds")
-    side = lambda i, j, by: dealt.select("band", "cell", i, j, F.struct("id", "n", "own", "root").alias(by))
+    side = lambda i, j, by: dealt.select("band", "cell", i, j, F.struct("id", "n", "root", "of_hub", "others").alias(by))
     x = side(F.col("at").alias("i"), F.explode(F.sequence("at", F.col("k") - 1)).alias("j"), "x")
     y = side(F.explode(F.sequence(F.lit(0).cast("long"), "at")).alias("i"), F.col("at").alias("j"), "y")
-    common = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+    common = F.least("x.of_hub", "y.of_hub") + F.least("x.others", "y.others")
     met = x.hint("merge").join(y, ["band", "cell", "i", "j"]).where("(i < j OR x.id < y.id) AND x.root != y.root").where(_least_alike(common, F.col("x.n"), F.col("y.n"), similarity))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
@@ -167,16 +182,19 @@ def alike(docs: DataFrame, sketched: DataFrame, width: int = 5, similarity: floa
     pairs = written(met.select(F.col("lo.id").alias("a"), F.col("m.id").alias("b")).distinct(), "pairs")
     near = _near(docs, pairs, width, similarity)
     crowded = crowded.where("members > 2").select("m.*", "band", "cell")  # of two the only pair has met
-    met_before = pairs
     still = _open(crowded, near)
     if not still.isEmpty():
-        still = written(still.join(_own_shingles(docs, still, width), "id", "left").withColumn("own", F.coalesce("own", F.lit(0))), "counted")
-        hubs = still.groupBy("band", "cell").agg(F.min(F.struct("own", "id", "root", "n")).alias("h"))
-        tried = still.join(hubs.hint("merge"), ["band", "cell"]).where("root != h.root").where(F.least("n", "h.n") >= similarity * F.greatest("n", "h.n"))
-        tried = tried.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b")).distinct()
-        tried = written(tried.join(met_before.hint("merge"), ["a", "b"], "left_anti"), "tried")
-        near, met_before = near.unionByName(_near(docs, tried, width, similarity)), met_before.unionByName(tried)
-        rest = written(_rest(_open(still, near), similarity).join(met_before.hint("merge"), ["a", "b"], "left_anti"), "rest")
+        sets = _sets(docs, written(still.select(F.col("id").alias("doc_id")).distinct(), "ids"), width)
+        counted = still.join(_own_shingles(sets), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        hubs = counted.groupBy("band", "cell").agg(F.min(F.struct("own", "id")).alias("h")).select("band", "cell", F.col("h.id").alias("hub"))
+        still = written(still.join(hubs.hint("merge"), ["band", "cell"]), "hubbed")
+        met = _with_hub(still, sets)
+        linked = met.where(F.col("id") != F.col("hub")).where(_least_alike(F.col("of_hub"), F.col("n"), F.col("hub_n"), similarity))
+        near = written(near.unionByName(linked.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))).distinct(), "near")
+        still = _open(still, near)
+        figures = met.select("id", "hub", "of_hub").join(_elsewhere(still, met).hint("merge"), ["id", "hub"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+        rest = _rest(still.join(figures.hint("merge"), ["id", "hub"]), similarity)
+        rest = written(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             near = near.unionByName(_near(docs, rest, width, similarity))
     return near.select("a", "b").unionByName(same.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))).distinct()
