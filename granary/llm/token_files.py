@@ -40,7 +40,7 @@ BLOCK_IDS = 4096
 #: Characters of text for a file.
 FILE_CHARS = 4 << 20
 #: Words, and pieces of words, whose ids a Python worker remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
 _WIDE_BITS = 12
 
 
@@ -115,8 +115,8 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces between white space are independent (word-end BPE).
 
-    Remembers the ids of words, and of the pieces that words are made of, up
-    to ``cache`` of each; a full memory is emptied.
+    Remembers the ids of words, and of the pieces that words are made of, some
+    ``cache`` of both together; a full memory is emptied.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PIECES):
@@ -127,7 +127,6 @@ class WordEncoder:
         self.mark = self.special[-1] if self.special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
 
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces, many to a call, with a special token between them as a mark."""
@@ -144,20 +143,19 @@ class WordEncoder:
 
     def _piece(self, piece: str) -> bytes:
         """A piece of a plain text is what the tokenizer's normaliser and splitter would hand to its model: ask the model."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _learn(self, words: set[str], plain: bool) -> None:
+        memory = self.words
         if not plain:
-            self.words.update(self._encoded(list(words)))
+            memory.update(self._encoded(list(words)))
             return
-        cut = {w: _PIECES.findall(w) for w in words}
-        new = set(chain.from_iterable(cut.values())).difference(self.pieces)
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces.clear()
-            new = set(chain.from_iterable(cut.values()))
-        self.pieces.update((p, self._piece(p)) for p in new)
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, x))) for w, x in cut.items())
+        cut = {w: _PIECES.findall(w) for w in words if not w.isalpha()}
+        # A word of letters alone is one piece, and a piece is remembered like a word.
+        for piece in (words - cut.keys()).union(set(chain.from_iterable(cut.values())).difference(memory)):
+            memory[piece] = self._piece(piece)
+        memory.update((w, b"".join(map(memory.__getitem__, x))) for w, x in cut.items())
 
     def encode(self, text: str) -> np.ndarray:
         if self.mark is None or any(s in text for s in self.special):
