@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, html_text, langid, mixing, pii, simhash, substring_dedup, token_files, topk, url_filter
+from granary.llm import decontam, html_text, langid, lexical, mixing, pii, simhash, substring_dedup, token_files, topk, url_filter
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,10 +119,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rank, doc_id, score): for every row of ``benchmark`` its 20 best of ``documents``.
+
+    Texts on either side that are null, empty or without a term are in no row;
+    equal scores are ranked by doc_id, nulls last; repeated documents are ranked
+    each, repeated items reported each; an empty table on either side gives no
+    rows.
+    """
+    return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id)
+    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id, op12_lexical_search)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op2_url_filter": url_filter.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op2_url_filter": url_filter.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL}
