@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, html_text, langid, lexical, mixing, pii, simhash, substring_dedup, token_files, topk, url_filter
+from granary.llm import decontam, html_text, langid, lexical, mixing, pii, sharding, simhash, substring_dedup, token_files, topk, url_filter
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,10 +130,21 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of ``documents``, by the law ``rows``.
+
+    Null and empty texts have size 8 and checksum 0; null sources, langs and
+    ids come last; repeated rows each have a slot; a group of equal texts, of
+    whatever size, is cut where a shard is full; an empty table gives no rows.
+    """
+    found = sharding.sharded(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id, op12_lexical_search)
+    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id, op12_lexical_search, op13_sharding)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op2_url_filter": url_filter.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op2_url_filter": url_filter.ORACLE_SQL, "op8_topk_search": topk.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL, "op13_sharding": sharding.ORACLE_SQL}
