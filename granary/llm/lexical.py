@@ -20,7 +20,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +75,7 @@ def counted(texts: DataFrame) -> DataFrame:
                 for found in terms(text.as_py() or b""):
                     own.update(found)
                     n += len(found)
-                held += sum(map(len, own.difference(counts)))
+                held += sum(map(len, filterfalse(counts.__contains__, own)))
                 counts.update(own)
                 docs, total = docs + (n > 0), total + n
                 if len(counts) > _HELD or held > _HELD_BYTES:
