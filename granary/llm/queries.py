@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontam, html_text, langid, lexical, mixing, pii, sharding, simhash, substring_dedup, token_files, topk, url_filter
+from granary.llm import decontam, html_text, langid, lexical, mixing, pii, sharding, simhash, substring_dedup, token_files, topk, url_filter, whitening
 from granary.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,6 +119,17 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, component, n, deviation, whitened, explained, identity_error): eight rows for each vector of ``embeddings``.
+
+    Vectors that are null, or hold a null or an entry that isn't finite, take no
+    part; a shorter one counts as filled up with zeros; repeated rows and null
+    ids stay; equal eigenvalues' vectors are any orthonormal ones; directions
+    without variance are no components; an empty table gives no rows.
+    """
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, rank, doc_id, score): for every row of ``benchmark`` its 20 best of ``documents``.
 
@@ -142,7 +153,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id, op12_lexical_search, op13_sharding)
+    every = (op1_mixing, op2_url_filter, op3_substring_dedup, op4_html_text, op5_personal_data, op6_simhash, op7_decontamination, op8_topk_search, op9_token_files, op10_language_id, op11_whitening, op12_lexical_search, op13_sharding)
     return {f.__name__: f for f in every}
 
 
