@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontam, langid, mixing, simhash, token_files
-from granary.llm.scratch import written
+from granary.llm.scratch import quoted, written
 from granary.sources.tables import read_table
 
 #: A document whose language score is lower is rejected, like one without letters. The score is how far the text is on
@@ -29,7 +29,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = ("_stage_lang", "_stage_score")  # beside whatever columns there are
     sure = langid.identified(docs, names).where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= LEAST_LANGUAGE_SCORE))
-    return sure.select(*(f"`{c}`" for c in docs.columns))
+    return sure.select(*quoted(docs.columns))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import map_batches
+from granary.llm.scratch import map_batches, quoted, with_fields
 
 # HTML's tag names, by what they mean for a block.
 BREAKING = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -294,9 +294,9 @@ def extracted(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     """
     rules = rules or Rules(*stop_words(pages))
     shared = pages.sparkSession.sparkContext.broadcast(rules)
-    kept = pages.select(*(f"`{c}`" for c in pages.columns if c.lower() not in ("text", "html")), "html")
+    kept = pages.select(*quoted(c for c in pages.columns if c.lower() not in ("text", "html")), "html")
     names = kept.columns[:-1]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "text string"])
+    schema = with_fields(kept.schema.fields[:-1], "text string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

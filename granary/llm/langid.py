@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import map_batches
+from granary.llm.scratch import map_batches, place_of, quoted, with_fields
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -123,9 +123,9 @@ def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred"
     is looked at; all other columns pass through, repeated rows too.
     """
     spark, columns = docs.sparkSession, [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-    kept = docs.select(*(f"`{c}`" for c in columns))
-    shared, at_text = spark.sparkContext.broadcast(model), [c.lower() for c in kept.columns].index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{names[0]}` string", f"`{names[1]}` double"])
+    kept = docs.select(*quoted(columns))
+    shared, at_text = spark.sparkContext.broadcast(model), place_of(kept.columns, "text")
+    schema = with_fields(kept.schema, f"`{names[0]}` string, `{names[1]}` double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import written
+from granary.llm.scratch import row_hash, written
 from granary.llm.words import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -166,7 +166,7 @@ def mix_rows(docs: DataFrame, seed: int = 17) -> DataFrame:
     """
     # Each row has a number in a written table, so that no id, null or repeated, is a key that rows share.
     rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("n")), "numbered")
-    plain = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"), "n", F.xxhash64("row").alias("by"))
+    plain = rows.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), F.col("row.text").alias("text"), "n", row_hash(docs.schema, "row").alias("by"))
     sizes = written(sized(plain, "n", "by"), "sizes")
     times = _filled(sizes, seed, ("by",)).groupBy("n", "size").agg(_taken())
     times = times.where("taken > 0").select("n", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0")

@@ -6,10 +6,12 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of an Arrow batch at most, but for a single larger row; Spark's own limit is 64 MB, several times in memory at once.
 BATCH_BYTES = 2 << 20
@@ -39,6 +41,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_fields(fields: Iterable[StructField], more: str) -> StructType:
+    """The schema of ``fields``, whatever their names and types, and then those of ``more``, such as ``fp long``."""
+    return StructType([*fields, *StructType.fromDDL(more)])
+
+
+def quoted(columns: Iterable[str]) -> list[str]:
+    """Column names as Spark's parser takes them, whatever characters they have."""
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
+def row_hash(schema: StructType, row: str | None = None) -> Column:
+    """A 64-bit hash of all columns of a table, or of the column ``row`` that holds them as a struct. Spark hashes no maps: as JSON here."""
+    columns = [F.col(row).getField(f.name) if row else F.col(quoted([f.name])[0]) for f in schema]
+    return F.xxhash64(*(F.to_json(F.struct(c.alias("c"))) if re.search("map<|variant", f.dataType.simpleString()) else c for c, f in zip(columns, schema)))
+
+
+def place_of(columns: list[str], name: str) -> int:
+    """Where a column stands, its name in any case, as Spark resolves it; an error if there is none."""
+    found = [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are called {name}")
+    return found[0]
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limit on the bytes of an Arrow batch to :data:`BATCH_BYTES`. Results don't depend on it."""
     if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import shared_path, written
+from granary.llm.scratch import row_hash, shared_path, written
 
 SHARDS, BITS = 24, 6
 #: Rows in a range of the sort, about.
@@ -120,7 +120,7 @@ def arranged(rows: DataFrame, dims: list[str], order: list[str], shards: int = S
         raise ValueError(f"law is one of {_LAWS}; bytes needs a size")
     rows = written(rows, "rows")
     cells = quantised(rows, dims, bits)
-    keys = rows.select(F.struct("*").alias("row"), curve_index(cells, bits).alias("_curve"), F.xxhash64(F.struct(*(f"`{c}`" for c in rows.columns))).alias("_hash"))
+    keys = rows.select(F.struct("*").alias("row"), curve_index(cells, bits).alias("_curve"), row_hash(rows.schema).alias("_hash"))
     by = ["_curve", *(F.col("row").getField(c).asc_nulls_last() for c in order), "_hash"]
     n_ranges = 1 + rows.count() // RANGE_ROWS
     sorted_rows = keys.repartitionByRange(n_ranges, *by).sortWithinPartitions(*by).select("row", F.monotonically_increasing_id().alias("at"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.components import connected_components
-from granary.llm.scratch import map_batches, written
+from granary.llm.scratch import map_batches, with_fields, written
 from granary.llm.words import hash_words, mixed, windows
 
 BANDS, ROWS = 20, 6
@@ -65,7 +65,7 @@ def _mapped(docs: DataFrame, width: int, added: dict[str, str], row: Callable[[b
     kept = docs.schema[:-1]
     types = [pa.list_(pa.int64()) if t == "array<long>" else pa.binary() if t == "binary" else pa.int64() for t in added.values()]
     names = [*kept.names, *added]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{n} {t}" for n, t in added.items())])
+    schema = with_fields(kept, ", ".join(f"{n} {t}" for n, t in added.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

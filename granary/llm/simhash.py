@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.components import connected_components
-from granary.llm.scratch import map_batches, written
+from granary.llm.scratch import map_batches, place_of, quoted, row_hash, with_fields, written
 from granary.llm.shingle_sets import alike, sketches
 
 _LOW = 0x5555555555555555
@@ -49,9 +49,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 def with_fingerprint(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` with fp (long) added, in the place of a column of that name; a null text has no words."""
-    kept = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != "fp"))
-    at = [c.lower() for c in kept.columns].index("text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "fp long"])
+    kept = docs.select(*quoted(c for c in docs.columns if c.lower() != "fp"))
+    at, schema = place_of(kept.columns, "text"), with_fields(kept.schema, "fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +163,7 @@ def one_of_each(docs: DataFrame, width: int = 3, max_bits: int = 2, similarity:
     heads = found.where(F.col("doc_id") == F.col("component_id")).select("component_id").distinct()
     lone = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull()).select("fp").distinct()
     packed = docs.select(F.struct("*").alias("row"))
-    key, order = F.col("row.doc_id"), F.xxhash64("row")
+    key, order = F.col("row.doc_id"), row_hash(docs.schema, "row")
     # Straight after the scan, so that Spark keeps the first row of each key in every task before it shuffles: a key may have very many rows.
     first = lambda rows, by: rows.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("n = 1")
     named = first(packed.where(key.isNotNull()), key).join(heads, key == F.col("component_id"), "left_semi")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import subprocess
+import sys
 
 import numpy as np
 
@@ -124,3 +126,79 @@ def test_short_and_much_edited_items_match_alignment_alone(spark):
     asked, at = hash_words([D._fold(t) for _, t in items])
     want = {(d, i) for d in range(len(rows)) for i in range(len(items)) if D.align(asked[at[i] : at[i + 1]], hashes[first[d] : first[d + 1]])[0] >= 0.5 * (at[i + 1] - at[i])}
     assert got == want and (len(rows) - 1, len(items) - 1) in want
+
+
+def test_one_phrase_in_very_many_items_over_a_text_that_repeats_it():
+    """Memory is bounded however many items and places share seeds: in a process of its own, 20,000 items and a text of 1 MB."""
+    code = """
+import resource
+import numpy as np
+from granary.llm import decontam as D
+from granary.llm.words import hash_words
+phrase = "this is one of the things that we know"
+items = [(str(i), f"{phrase} " + " ".join(f"w{i}x{k}" for k in range(14))) for i in range(20000)]
+often = np.unique(D._grams(hash_words([phrase.encode()])[0], 2))
+block = D._block(items, {2: (often, np.full(len(often), 99))}, 3, 0.75, 8, 0.5)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = (f"{phrase} " * 27500 + items[123][1] + " ").encode()
+assert len(text) > 1 << 20
+found = D._matches(*hash_words([text + D._fold("and more of it "), b"other words"]), block, 0.5)
+assert [(f[0], block.keys[f[1]], f[2]) for f in found] == [(0, "123", 1.0)], found
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    ran = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr
+    whole, more = map(int, ran.stdout.split())
+    assert whole < 500, (whole, more)
+
+
+def test_a_pair_whose_words_repeat_very_often_is_aligned_in_pieces(monkeypatch):
+    rng = random.Random(9)
+    items = [("a", "x y " * 12 + "z"), ("b", "k l m n o p q r s t")]
+    texts = ["x y " * 300 + "z " + "x y " * 40, "p q " * 90 + "k l m n o p q r s t " + "p q " * 50, " ".join(rng.choice("xyzkl") for _ in range(900))]
+    block = D._block(items, {}, 3, 0.75, 8, 0.5)
+    hashed = hash_words([t.encode() for t in texts])
+    plain = {f[:3] for f in D._matches(*hashed, block, 0.5)}
+    for hits in (40, 300):
+        monkeypatch.setattr(D, "_HITS", hits)
+        monkeypatch.setattr(D, "_PIECE", 64)
+        assert {f[:3] for f in D._matches(*hashed, block, 0.5)} == plain
+    assert (0, 0, 1.0) in plain and (1, 1, 1.0) in plain
+
+
+def test_the_benchmark_is_counted_in_one_scan_and_repeated_items_are_sought_once(spark, monkeypatch):
+    items, rows, planted = corpus()
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items * 30, "item_id long, text string")
+    scans, blocks = [], []
+    count, block = D._frequencies, D._block
+    monkeypatch.setattr(D, "_frequencies", lambda *a: scans.append(1) or count(*a))
+    monkeypatch.setattr(D, "_block", lambda *a: blocks.append(len(a[0])) or block(*a))
+    got = [(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, benchmark, block_bytes=1500).collect()]
+    assert len(got) == 30 * len(planted) and set(got) == planted
+    assert scans == [1] and len(blocks) > 2 and sum(blocks) == len(items)
+
+
+def test_frequencies_are_those_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(D, "_FILTER_BITS", 10)  # nearly all pass the filter
+    monkeypatch.setattr(D, "_HELD", 50)
+    items, rows, _ = corpus()
+    words_of = lambda t: t.lower().replace(",", " ").split()
+    grams = D._item_grams(spark.createDataFrame([(i % 2, t) for i, t in items], "block int, text string"), 3, 0.5)
+    got = {(r["block"], r["h"]): r["n"] for r in D._frequencies(spark.createDataFrame([(t,) for _, t in rows], "text string").repartition(3), grams).collect()}
+    want = {}
+    for i, t in items:
+        for a, b in zip(words_of(t), words_of(t)[1:]):
+            h = int(D._grams(hash_words([f"{a} {b}".encode()])[0], 2).view(np.int64)[0])
+            n = sum((a, b) in set(zip(words_of(x), words_of(x)[1:])) for _, x in rows)
+            if n:
+                want[i % 2, h] = n
+    assert got == want
+
+
+def test_columns_of_any_name(spark):
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "Item_Id long, TEXT string")
+    rows = [(1, "say alpha beta gamma delta epsilon zeta", 5, ("x",), 7), (2, "nothing of it", 5, ("x",), 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, `a.b` int, `c d` struct<`e f`: string>, last int")
+    kept = D.decontaminated(docs, benchmark)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.where("doc_id = 2").collect()]
+    assert [r["doc_id"] for r in D.contaminated(docs, benchmark).collect()] == [1]

@@ -92,3 +92,16 @@ def test_a_language_that_was_not_learnt_is_rejected(spark):
     docs = spark.createDataFrame(rows, DOCUMENTS)
     kept = {r["doc_id"] for r in dict(P.STAGES)["language_id"](spark, docs, SF).collect()}
     assert kept == {*range(60), 101, 102}
+
+
+def test_stages_take_columns_of_any_name_and_type(spark):
+    prose = ["the cat and the dog went to the house", "a quite different text of other words", "the man of this house has a cat and no dog"]
+    rows = [(i, t, "en", "a", 9, 4, ("x",), [1], {"k": "v"}, 5) for i, t in enumerate([*prose, *prose])]
+    docs = spark.createDataFrame(rows, "Doc_Id long, Text string, Lang string, SOURCE string, n_chars long, `a.b` int, `a b` struct<`c d`: string>, `e``f` array<int>, fp map<string, string>, last int")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "token_files":
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        want = {"simhash_near_dedup": 3}.get(name, 6)
+        got = out.collect()
+        assert len(got) == want and all(tuple(r) in rows for r in got if name != "token_files")
