@@ -39,8 +39,10 @@ _HEAD = struct.Struct("<4sBIIQ")
 BLOCK_IDS = 4096
 #: Characters of text for a file.
 FILE_CHARS = 4 << 20
-#: Words, and pieces of words, whose ids a Python worker remembers.
-CACHE_PIECES = 500_000
+#: Bytes, about, of the words and pieces of words whose ids a Python worker remembers; what an entry and a character of it take, about.
+CACHE_BYTES, _ENTRY_BYTES, _CHAR_BYTES = 96 << 20, 200, 8
+#: Words of a text that are looked up together.
+_SLICE = 1 << 16
 _WIDE_BITS = 12
 
 
@@ -115,11 +117,12 @@ _encoders: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pieces between white space are independent (word-end BPE).
 
-    Remembers the ids of words, and of the pieces that words are made of, some
-    ``cache`` of both together; a full memory is emptied.
+    Remembers the ids of words, and of the pieces that words are made of, in
+    about ``cache`` bytes, counted before they are added; a memory that would grow beyond
+    is emptied first. Only a slice of words that needs more by itself exceeds it.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_PIECES):
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache
@@ -127,6 +130,7 @@ class WordEncoder:
         self.mark = self.special[-1] if self.special else None
         self.mark_id = self.tokenizer.token_to_id(self.mark) if self.mark else -1
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces, many to a call, with a special token between them as a mark."""
@@ -146,14 +150,23 @@ class WordEncoder:
         letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
-    def _learn(self, words: set[str], plain: bool) -> None:
+    def _learn(self, words: list[str], plain: bool) -> None:
         memory = self.words
+        while True:
+            new = set(words).difference(memory)
+            # A word of letters alone is one piece, and a piece is remembered like a word.
+            cut = {w: _PIECES.findall(w) for w in new if not w.isalpha()} if plain else {}
+            pieces = (new - cut.keys()).union(set(chain.from_iterable(cut.values())).difference(memory)) if plain else new
+            cost = sum(_ENTRY_BYTES + _CHAR_BYTES * len(w) for x in (pieces, cut) for w in x)
+            if self.held + cost <= self.most or not memory:
+                break
+            memory.clear()
+            self.held = 0
+        self.held += cost
         if not plain:
-            memory.update(self._encoded(list(words)))
+            memory.update(self._encoded(list(new)))
             return
-        cut = {w: _PIECES.findall(w) for w in words if not w.isalpha()}
-        # A word of letters alone is one piece, and a piece is remembered like a word.
-        for piece in (words - cut.keys()).union(set(chain.from_iterable(cut.values())).difference(memory)):
+        for piece in pieces:
             memory[piece] = self._piece(piece)
         memory.update((w, b"".join(map(memory.__getitem__, x))) for w, x in cut.items())
 
@@ -161,14 +174,13 @@ class WordEncoder:
         if self.mark is None or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         plain = _PLAIN.fullmatch(text) is not None
-        words = text.lower().split() if plain else _WORDS.findall(text)
-        new = set(words).difference(self.words)
-        if new:
-            if len(self.words) + len(new) > self.most:
-                self.words.clear()
-                new = set(words)
-            self._learn(new, plain)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4")
+        words, parts = text.lower().split() if plain else _WORDS.findall(text), []
+        for at in range(0, len(words), _SLICE):
+            some = words[at : at + _SLICE]
+            if set(some).difference(self.words):
+                self._learn(some, plain)
+            parts.append(b"".join(map(self.words.__getitem__, some)))
+        return np.frombuffer(b"".join(parts), dtype="<u4")
 
 
 def encoder(path: str) -> WordEncoder:

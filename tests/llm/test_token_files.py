@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import Counter
 
@@ -108,3 +109,24 @@ def test_one_id_may_fill_many_files(spark):
 def test_empty_table(spark):
     out = T.written_digests(spark.createDataFrame([], "doc_id long, text string"))
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() == 0
+
+
+def test_the_memory_of_words_is_bounded_in_bytes():
+    library, own = Tokenizer.from_file(T.tokenizer_path()), T.WordEncoder(T.tokenizer_path(), cache=1 << 20)
+    rng = random.Random(6)
+    blob = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300))
+    for turn in range(12):
+        text = " ".join([blob() for _ in range(40)] + ["the same words", "größe", "日本語の"[: turn % 4]])
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.held <= 1 << 20 and own.words
+    text = " ".join(blob() for _ in range(400))  # more than the memory by itself: remembered for this text alone
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids and own.held > 1 << 20
+    own.encode("one more word")
+    assert own.held < 1 << 20
+
+
+def test_slices_of_a_text_join_up(monkeypatch):
+    library, own = Tokenizer.from_file(T.tokenizer_path()), T.WordEncoder(T.tokenizer_path(), cache=2000)
+    monkeypatch.setattr(T, "_SLICE", 7)
+    text = "It's a text of 23 words, größer than a slice; " * 9
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
