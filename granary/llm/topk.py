@@ -11,22 +11,31 @@ far plus the bounds that remain reaches the score to beat, which is raised on
 the way by finishing the best. As it rises from chunk to chunk, the border moves
 forward. A query's k best of each shard are merged.
 
-Blocks of queries and shards of vectors meet in an equi-join of their numbers,
-so that memory depends on neither's count and nothing passes through the driver.
+Vectors are held as packs: some thousand rows of integers of two, four or eight
+bytes in one value. Blocks of queries and shards of packs meet in an equi-join
+of their numbers, so that memory depends on neither's count and nothing passes
+through the driver; every vector is moved once for each block of 65,536 queries,
+and every query once for each shard. That is done in two rounds: a sixteenth of
+the shards gives each query a score to beat, with which it enters all the
+others; they return only what reaches it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import bound_batches, release_memory, written
+from granary.llm.scratch import bound_batches, map_batches, release_memory, written
 
 SCALE = 256
-#: Queries in a block, vectors in a shard and in a chunk of it, and terms probed at a time.
-QUERY_BLOCK, SHARD_ROWS, CHUNK, PROBE = 4096, 8192, 2048, 8
+#: Queries in a block, vectors in a shard and in a pack (entries in it at most, but for a single longer vector), and terms probed at a time.
+QUERY_BLOCK, SHARD_ROWS, PACK, PACK_ENTRIES, PROBE = 1 << 16, 1 << 16, 2048, 1 << 18, 8
+#: Of so many shards one is searched first. Fewer groups of a block and a shard than so many for each core are more, smaller ones.
+SAMPLE, SPREAD = 16, 3
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -70,23 +79,25 @@ def border(left: np.ndarray, floor) -> int:
 
 
 class Shard:
-    """Chunks of vectors that are searched in turn."""
+    """Chunks of vectors, (ids, rows) each, that are searched in turn."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, chunk: int = CHUNK):
-        self.chunks = [Chunk(ids[at : at + chunk], rows[at : at + chunk]) for at in range(0, len(ids), chunk)]
+    def __init__(self, chunks: Iterable[tuple[np.ndarray, np.ndarray]]):
+        self.chunks = [Chunk(ids, rows) for ids, rows in chunks]
         #: Components read by all searches so far.
         self.read = 0
 
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors but those with the id ``own``; all that tie with the last are considered, smaller ids first."""
-        ids, scores, floor = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), None
+    def best(self, query: np.ndarray, own: int, k: int, floor: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best vectors but those with the id ``own``; all that tie with the last are considered, smaller ids first. Only scores from ``floor`` on."""
+        ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for chunk in self.chunks:
             more, found = self._search(chunk, query, own, k, floor)
             ids, scores = np.concatenate((ids, more)), np.concatenate((scores, found))
             first = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[first], scores[first]
-            floor = scores[-1] if len(scores) == k else None
-        return ids, scores
+            if len(scores) == k and (floor is None or scores[-1] > floor):
+                floor = int(scores[-1])
+        reach = slice(None) if floor is None else scores >= floor
+        return ids[reach], scores[reach]
 
     def _search(self, chunk: Chunk, query: np.ndarray, own: int, k: int, floor) -> tuple[np.ndarray, np.ndarray]:
         n = min(len(query), len(chunk.terms))
@@ -122,49 +133,103 @@ class Shard:
         return chunk.ids[alive[first]], scores[first].astype(np.int64)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k`` best of ``vectors``, by inner product, ties to the smaller vec_id.
+def packed(vectors: DataFrame) -> DataFrame:
+    """(pack, n, dims, width, ids, rows) of ``vectors`` (vec_id, v array<long>): packs of neighbouring rows as a table in the shared folder.
 
-    Both are (vec_id, v array<long>, n long), of :func:`numbered`; candidates
-    with the query's own id are left out. Fewer candidates give fewer rows;
-    empty tables none. A shorter vector counts as filled up with zeros.
-    Repeated queries give repeated rows, repeated vectors take a rank each,
-    whatever share of the rows they are: shards are cut by row number.
+    ``rows`` holds n times dims integers of ``width`` bytes, the fewest that all of the pack fit into; a
+    shorter vector is filled up with zeros.
     """
-    bound_batches(vectors.sparkSession)
-    n_shards, n_blocks = 1 + vectors.count() // shard_rows, 1 + queries.count() // query_block
-    asked = queries.select(F.col("vec_id").alias("own"), F.col("v").alias("query"), F.col("n").alias("q"))
-    dealt = lambda df, number, name, n, other, m: df.withColumns({name: F.pmod(F.xxhash64(number), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))}).groupBy("b", "s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                size = PACK
+                while size > 1 and size * _longest(batch.column(1).slice(at, size)) > PACK_ENTRIES:
+                    size //= 2
+                part = batch.slice(at, size)
+                rows = _matrix(part.column(1), _longest(part.column(1)))
+                most = int(np.abs(rows).max(initial=0))
+                width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+                ids = part.column(0).to_numpy().astype("<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part.num_rows, pa.int32()), (rows.shape[1], pa.int32()), (width, pa.int32()), (ids, pa.binary()), (rows.astype(f"<i{width}").tobytes(), pa.binary()))], ["n", "dims", "width", "ids", "rows"])
+                at += size
+
+    packs = map_batches(vectors.select("vec_id", "v"), run, "n int, dims int, width int, ids binary, rows binary")
+    return written(packs.withColumn("pack", F.monotonically_increasing_id()), "packs")
+
+
+def _unpacked(pack: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(pack["ids"], "<i8"), np.frombuffer(pack["rows"], f"<i{pack['width']}").reshape(pack["n"], pack["dims"]).astype(np.int64)
+
+
+def _met(asked: DataFrame, packs: DataFrame, n_blocks: int, shards: range, k: int) -> DataFrame:
+    """(pack, i, query_id, vec_id, score): of each of ``shards`` (of packs, column s) the k best of row i of each pack of ``asked`` (column b, and floors), from its score to beat on."""
+    dealt = lambda df, n: df.withColumn("b" if "s" in df.columns else "s", F.explode(F.sequence(F.lit(n.start), F.lit(n.stop - 1)))).groupBy("b", "s")
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        names = ["q", "query_id", "vec_id", "score"]
-        if not asked.num_rows or not rows.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 4, names)
-        v, w = asked.column("query").combine_chunks(), rows.column("v").combine_chunks()
-        shard = Shard(rows.column("vec_id").to_numpy(), _matrix(w, _longest(w)))
-        ids, numbers = asked.column("own").to_numpy(), asked.column("q").to_numpy()
-        found = [shard.best(x, i, k) for x, i in zip(_matrix(v, _longest(v)), ids)]
-        times = [len(i) for i, _ in found]
-        columns = (np.repeat(numbers, times), np.repeat(ids, times), *(np.concatenate(x) for x in zip(*found)))
+        names, out = ["pack", "i", "query_id", "vec_id", "score"], []
+        if rows.num_rows:
+            shard = Shard(map(_unpacked, rows.select(["n", "dims", "width", "ids", "rows"]).to_pylist()))
+            for pack in asked.to_pylist():
+                ids, queries = _unpacked(pack)
+                floors = dict((f["i"], f["score"]) for f in pack["floors"] or ())
+                for i, (own, query) in enumerate(zip(ids, queries)):
+                    found, scores = shard.best(query, own, k, floors.get(i))
+                    if len(found):
+                        out.append((np.full(len(found), pack["pack"]), np.full(len(found), i), np.full(len(found), own), found, scores))
         release_memory()
+        columns = [np.concatenate(c) for c in zip(*out)] or [np.zeros(0, dtype=np.int64)] * 5
         return pa.table([pa.array(c, pa.int64()) for c in columns], names)
 
-    out = dealt(asked, "q", "b", n_blocks, "s", n_shards).cogroup(dealt(vectors, "n", "s", n_shards, "b", n_blocks)).applyInArrow(run, "q long, query_id long, vec_id long, score long")
-    # A query's rows are k for each shard: first the best of each of a few salts of shards, then of these.
-    salted = Window.partitionBy("q", F.pmod(F.xxhash64("vec_id"), F.lit(8))).orderBy(F.desc("score"), "vec_id")
-    few = out.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return few.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    return dealt(asked, shards).cogroup(dealt(packs, range(n_blocks))).applyInArrow(run, "pack long, i long, query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """``found`` with rank, of each query the k first. A query's rows are some for each shard: first those of each of a few salts of them, then of these."""
+    salted = Window.partitionBy("pack", "i", F.pmod(F.xxhash64("vec_id"), F.lit(8))).orderBy(F.desc("score"), "vec_id")
+    few = found.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k).drop("r")
+    rank = F.row_number().over(Window.partitionBy("pack", "i").orderBy(F.desc("score"), "vec_id"))
+    return few.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int, query_block: int = QUERY_BLOCK, shard_rows: int | None = None) -> DataFrame:
+    """(pack, i, query_id, vec_id, score): for each query, a row i of a pack, vectors of which its k best are some."""
+    spark = vectors.sparkSession
+    bound_batches(spark)
+    packs, asked = packed(vectors), packed(queries)
+    n, m = (df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in (packs, asked))
+    n_blocks = max(1, -(-m // query_block))
+    if shard_rows is None:
+        shard_rows = min(SHARD_ROWS, max(PACK, -(-n * n_blocks // (SPREAD * spark.sparkContext.defaultParallelism))))
+    n_shards = max(1, -(-n // shard_rows))
+    number = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("pack"), F.lit(n)).cast("int"))
+    packs, asked = number(packs, "s", n_shards), number(asked, "b", n_blocks)
+    none = F.lit(None).cast("array<struct<i: bigint, score: bigint>>")
+    first = -(-n_shards // SAMPLE) if n_shards > 1 else 0
+    if not first:
+        return _met(asked.withColumn("floors", none), packs, n_blocks, range(n_shards), k)
+    found = written(_met(asked.withColumn("floors", none), packs.where(F.col("s") < first), n_blocks, range(first), k), "first")
+    floors = _ranked(found, k).where(F.col("rank") == k).groupBy("pack").agg(F.collect_list(F.struct("i", "score")).alias("floors"))
+    more = _met(asked.join(floors, "pack", "left"), packs.where(F.col("s") >= first), n_blocks, range(first, n_shards), k)
+    return found.unionByName(more)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int = QUERY_BLOCK, shard_rows: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``queries`` its ``k`` best of ``vectors``, by inner product, ties to the smaller vec_id.
 
-def numbered(vectors: DataFrame) -> DataFrame:
-    """:func:`integers` of ``vectors`` with n, a number for each row, as a table in the shared folder."""
-    return written(integers(vectors).withColumn("n", F.monotonically_increasing_id()), "vectors")
+    Both are (vec_id, v array<long>), of :func:`integers`; candidates
+    with the query's own id are left out. Fewer candidates give fewer rows;
+    empty tables none. A shorter vector counts as filled up with zeros.
+    Repeated queries give repeated rows, repeated vectors take a rank each,
+    whatever share of the rows they are: shards are cut by pack.
+    """
+    return _ranked(candidates(vectors, queries, k, query_block, shard_rows), k).select("query_id", "rank", "vec_id", "score")
 
 
 def search(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """:func:`top_k` over ``embeddings`` (vec_id, embedding) for the rows whose vec_id ``every`` divides. Other columns are ignored."""
-    vectors = numbered(embeddings)
+    vectors = integers(embeddings)
     return top_k(vectors, vectors.where(F.col("vec_id") % every == 0), k)
 
 
