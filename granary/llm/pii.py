@@ -1,7 +1,6 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.
 
-Seeds are what the base patterns find and, of the kind ``secret``, which has no
-base pattern, words in the shape of a digest. The words about a seed are
+Seeds are what the base patterns find. The words about a seed are
 lexical patterns: the one or two before it, the one after it, and one on either
 side. A pattern's instances are all identifier-like words that stand in it
 anywhere in the corpus. Patterns and instances form a bipartite graph, scored
@@ -28,8 +27,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.scratch import written
 
-#: The last has no base pattern: all its spans come from contexts.
-KINDS = ("email", "ip", "card", "phone", "secret")
+KINDS = ("email", "ip", "card", "phone")
 
 # The base patterns. Quantifiers are possessive where a match never needs them to give back, a match that
 # can only begin a run of its characters says so, and a card has its least number of digits: the same matches that count,
@@ -42,19 +40,18 @@ PATTERNS = {
 }
 #: What a text must hold for its kind's pattern to be tried.
 HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: Identifier-like words: those that hold a digit, an at sign or a plus, with the short groups of digits that follow.
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*+[0-9@+][^\x20\x09-\x0D]*+(?:\x20[(]?+[0-9]{1,5}+[)]?+(?:-[0-9]{1,5}+)*+[^\x20\x09-\x0DA-Za-z0-9@+-]*+(?![^\x20\x09-\x0D]))*+"
-#: A word that is a seed of a secret: a digest or key in hexadecimal or letters and digits.
-SECRET_SEED = r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9]{32,}+$"
+#: An address that is spelled out: name at host dot com, name[at]host[dot]com.
+SPELLED = r"[A-Za-z0-9._%+-]++(?:\x20(?i:at)\x20|\x20?+[(\[](?i:at)[)\]]\x20?+)[A-Za-z0-9-]++(?:(?:\x20(?i:dot)\x20|\x20?+[(\[](?i:dot)[)\]]\x20?+)[A-Za-z0-9-]++)++"
+#: Identifier-like words: those that hold a digit, an at sign or a plus, with the short groups of digits that follow; and addresses spelled out.
+INSTANCE = r"(?<![^\x20\x09-\x0D])" + SPELLED + r"|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*+[0-9@+][^\x20\x09-\x0D]*+(?:\x20[(]?+[0-9]{1,5}+[)]?+(?:-[0-9]{1,5}+)*+[^\x20\x09-\x0DA-Za-z0-9@+-]*+(?![^\x20\x09-\x0D]))*+"
 #: What a discovered word must look like, by kind, after punctuation around it is taken off.
 SHAPES = {
-    "email": r"^[^@]++@[^@]++$",
+    "email": rf"^(?:[^@]++@[^@]++|{SPELLED})$",
     "ip": r"^[0-9A-Fa-f]*+(?:[.:][0-9A-Fa-f]*+){3,7}+$",
     "card": r"^(?:[^0-9A-Za-z]*+[0-9]){12,19}+[^0-9A-Za-z]*+$",
     "phone": r"^[+(]?+(?:[^0-9A-Za-z]*+[0-9]){7,15}+$",
-    "secret": r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[^\x20\x09-\x0D]{8,}+$",
 }
-_BASE, _SECRET, _WORD = len(PATTERNS), KINDS.index("secret"), len(KINDS)
+_WORD = len(KINDS)
 _OPENING, _CLOSING_REVERSED = r"^[^\p{L}\p{N}+(@]*+", r"^[^\p{L}\p{N}]*+"
 _NEXT_WORDS = r"^[\x20\x09-\x0D]*+([^\x20\x09-\x0D]++)(?:[\x20\x09-\x0D]++([^\x20\x09-\x0D]++))?+"
 #: Stands for a neighbour where the next thing is another identifier, or the text's edge.
@@ -126,7 +123,7 @@ def found(docs: DataFrame) -> DataFrame:
     matches = {k: F.when(F.contains("text", F.lit(HINTS[k])), m).otherwise(none) if HINTS.get(k) else m for k, m in matches.items()}
     texts = texts.withColumns(matches)
     texts = texts.withColumns({f"{k}_pieces": F.when(F.size(k) > 0, F.split("text", p, -1)) for k, p in every.items()})
-    kinds = [*range(_BASE), _WORD]
+    kinds = range(_WORD + 1)
     return texts.select("row", "doc_id", F.concat(*(_pairs(i, F.col(k), F.col(f"{k}_pieces")) for i, k in zip(kinds, every))).alias("pairs"))
 
 
@@ -141,11 +138,11 @@ def located(rows: DataFrame) -> DataFrame:
 def base_spans(places: DataFrame) -> DataFrame:
     """(row, kind, start, end, match): the matches of the base patterns that count."""
     valid = F.coalesce(*(F.when(F.col("kind") == i, _valid(k, F.col("match"))) for i, k in enumerate(PATTERNS)), F.lit(False))
-    return places.where(F.col("kind") < _BASE).where(valid).select("row", "kind", "start", "end", "match")
+    return places.where(F.col("kind") < _WORD).where(valid).select("row", "kind", "start", "end", "match")
 
 
 def occurrences(places: DataFrame, base: DataFrame) -> DataFrame:
-    """(row, start, end, word, kind, contexts) per identifier-like word: trimmed of punctuation; where a base span begins in it, the first such span's text and kind; else the kind of a secret's seed, or null. Words that begin inside a base span are left out."""
+    """(row, start, end, word, kind, contexts) per identifier-like word: trimmed of punctuation; where a base span begins in it, the first such span's text and kind; else null. Words that begin inside a base span are left out."""
     words = places.where(F.col("kind") == _WORD).select("row", "start", F.col("match").alias("word"), "contexts")
     lead, trail = F.length(F.regexp_extract("word", _OPENING, 0)), F.length(F.regexp_extract(F.reverse("word"), _CLOSING_REVERSED, 0))
     size = F.greatest(F.length("word") - lead - trail, F.lit(0))
@@ -160,8 +157,7 @@ def occurrences(places: DataFrame, base: DataFrame) -> DataFrame:
     # Picked by number: an aggregate would copy what it holds, a long word perhaps, at each of a word's many spans.
     inner = placed.where(~a_word & (F.col("start") < F.col("to"))).withColumn("n", F.row_number().over(Window.partitionBy("row", "at").orderBy("start", "kind")))
     inner = inner.where("n = 1").select("row", "at", F.col("kind").alias("of"), F.col("word").alias("span"))
-    secret = F.when(F.col("word").rlike(SECRET_SEED), F.lit(_SECRET))
-    return kept.join(inner, ["row", "at"], "left").select("row", "start", "end", F.coalesce("span", "word").alias("word"), F.coalesce("of", secret).alias("kind"), F.array_distinct("contexts").alias("contexts"))
+    return kept.join(inner, ["row", "at"], "left").select("row", "start", "end", F.coalesce("span", "word").alias("word"), F.col("of").alias("kind"), F.array_distinct("contexts").alias("contexts"))
 
 
 def _fits(kind: Column, word: Column) -> Column:
@@ -193,7 +189,7 @@ def patterns(seen: DataFrame, rounds: int = 3, least_score: float = 0.7, least_s
 
 def discovered(seen: DataFrame, trusted: DataFrame) -> DataFrame:
     """(row, kind, start, end): words that no base span begins in, that look like their kind and stand in a trusted pattern; of several kinds the best scored."""
-    new = seen.where(F.coalesce(F.col("kind") == _SECRET, F.lit(True))).select("row", "start", "end", "word", F.explode("contexts").alias("context"))
+    new = seen.where(F.col("kind").isNull()).select("row", "start", "end", "word", F.explode("contexts").alias("context"))
     marked = new.join(trusted, "context").where(_fits(F.col("kind"), F.col("word")))
     return marked.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
 

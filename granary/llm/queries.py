@@ -58,7 +58,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``documents``.
 
     Null and empty texts have no spans; counts and hash are of the base spans,
-    ``spans`` has the method's too, secrets among them; where several kinds fit
+    ``spans`` has the method's too; where several kinds fit
     a discovered word the best scored is taken, then the first as listed;
     repeated rows and null ids stay; an empty table gives no rows.
     """

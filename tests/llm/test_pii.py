@@ -6,7 +6,6 @@ import re
 from collections import defaultdict
 
 import regex
-from pyspark.sql import functions as F
 
 from granary.llm import pii
 
@@ -92,7 +91,7 @@ def brute_spans(docs, rounds=3, least_score=0.7, least_seeds=5, doubt=1.0):
     for i, text in docs:
         base = brute(text)
         out[i] = [(kinds.index(k), a, b) for k, a, b in base]
-        groups = list(regex.finditer(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*[0-9@+][^\x20\x09-\x0D]*(?:\x20[(]?[0-9]{1,5}[)]?(?:-[0-9]{1,5})*[^\x20\x09-\x0DA-Za-z0-9@+-]*(?![^\x20\x09-\x0D]))*", text))
+        groups = list(regex.finditer(r"(?<![^\x20\x09-\x0D])[A-Za-z0-9._%+-]++(?: (?i:at) | ?[(\[](?i:at)[)\]] ?)[A-Za-z0-9-]++(?:(?: (?i:dot) | ?[(\[](?i:dot)[)\]] ?)[A-Za-z0-9-]++)+|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@+]*[0-9@+][^\x20\x09-\x0D]*(?:\x20[(]?[0-9]{1,5}[)]?(?:-[0-9]{1,5})*[^\x20\x09-\x0DA-Za-z0-9@+-]*(?![^\x20\x09-\x0D]))*", text))
         edges = [0, *(m.end() for m in groups)], [*(m.start() for m in groups), len(text)]
         gaps = [text[a:b].lower().split() for a, b in zip(*edges)]
         for m, before, after in zip(groups, gaps, gaps[1:]):
@@ -109,7 +108,7 @@ def brute_spans(docs, rounds=3, least_score=0.7, least_seeds=5, doubt=1.0):
             contexts |= {f"{before[-2]} {before[-1]} _"} if len(before) > 1 else set()
             contexts |= {f"_ {after[0]}"} if after else set()
             contexts |= {f"{before[-1] if before else '#'} _ {after[0] if after else '#'}"} if before or after else set()
-            own = inner[0][1] if inner else kinds.index("secret") if re.fullmatch("(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9]{32,}", word) else None
+            own = inner[0][1] if inner else None
             seen.append((i, a, b, inner[0][2] if inner else word, own, contexts))
     graph, own = defaultdict(set), {}
     for _, _, _, word, kind, contexts in seen:
@@ -117,7 +116,7 @@ def brute_spans(docs, rounds=3, least_score=0.7, least_seeds=5, doubt=1.0):
             graph[c].add(word)
             own[c, word] = max(own.get((c, word), -1), -1 if kind is None else kind)
     score = {(w, k): 1.0 for (_, w), k in own.items() if k >= 0}
-    fits = lambda k, w: re.search(pii.SHAPES[kinds[k]], w) is not None
+    fits = lambda k, w: regex.search(pii.SHAPES[kinds[k]], w) is not None
     instances = [(c, w, k, 1.0) for (c, w), k in own.items() if k >= 0]
     for turn in range(rounds):
         if turn:
@@ -136,7 +135,7 @@ def brute_spans(docs, rounds=3, least_score=0.7, least_seeds=5, doubt=1.0):
     trusted = {x: s for x, (s, n) in scored.items() if s >= least_score and n >= least_seeds}
     assert score
     for i, a, b, word, kind, contexts in seen:
-        if kind is None or kinds[kind] == "secret":
+        if kind is None:
             found = [(trusted[c, k], -k) for c in contexts for k in range(len(kinds)) if (c, k) in trusted and fits(k, word)]
             if found:
                 out[i].append((-max(found)[1], a, b))
@@ -146,7 +145,7 @@ def brute_spans(docs, rounds=3, least_score=0.7, least_seeds=5, doubt=1.0):
 def test_discoveries_match_brute_force(spark):
     rng = random.Random(5)
     intros = ["call me at", "my token =", "TOKEN =", "write to", "from host", "pay with", "the", ""]
-    things = [lambda: f"+1 (555) 555-{rng.randint(1000, 9999)}", lambda: f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"({rng.randint(100, 999)}) {rng.randint(100, 999)} {rng.randint(1000, 9999)}", lambda: f'"{rng.getrandbits(160):040x}"!!', lambda: f"k{rng.getrandbits(50)}z", lambda: f"u{rng.randint(1, 99)}@mail.com,", lambda: f"u{rng.randint(1, 99)}@localhost", lambda: ".".join(str(rng.randint(0, 299)) for _ in range(4)), lambda: str(rng.randint(1, 99999)), lambda: "plain"]
+    things = [lambda: f"+1 (555) 555-{rng.randint(1000, 9999)}", lambda: f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: f"({rng.randint(100, 999)}) {rng.randint(100, 999)} {rng.randint(1000, 9999)}", lambda: f'"{rng.getrandbits(160):040x}"!!', lambda: f"k{rng.getrandbits(50)}z", lambda: f"u{rng.randint(1, 99)}@mail.com,", lambda: rng.choice([f"u{rng.randint(1, 99)}@localhost", f"Jo{rng.randint(1, 99)} at host dot com", "ann.b[at]host(dot)co [dot] uk."]), lambda: ".".join(str(rng.randint(0, 299)) for _ in range(4)), lambda: str(rng.randint(1, 99999)), lambda: "plain"]
     usual = {0: (0, 0, 0, 0, 1, 2), 1: (3, 3, 3, 4), 2: (3, 3, 4), 3: (5, 5, 5, 6), 4: (7,), 5: (8,)}
     docs = []
     for i in range(200):
@@ -159,7 +158,7 @@ def test_discoveries_match_brute_force(spark):
     got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(docs, DOCS)).collect()}
     want = brute_spans(docs)
     assert got == want
-    assert sum("secret" in x for x in want.values()) > 10 and sum(x.count("phone") + x.count("email") for x in want.values()) > sum(len([s for s in brute(t) if s[0] in ("phone", "email")]) for _, t in docs) + 10
+    assert sum(x.count("phone") + x.count("email") for x in want.values()) > sum(len([s for s in brute(t) if s[0] in ("phone", "email")]) for _, t in docs) + 10
 
 
 def test_very_many_matches_in_a_text(spark):
@@ -168,15 +167,38 @@ def test_very_many_matches_in_a_text(spark):
     assert got[1]["n_email"] == 100_000 and got[2]["n_ip"] == 250_000 and got[3]["spans"] == got[4]["spans"] == ""
 
 
-def test_held_back_seeds_are_discovered(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    places = pii.located(pii.found(docs)).cache()
-    seen = pii.occurrences(places, pii.base_spans(places)).cache()
-    secret = pii.KINDS.index("secret")
-    held = (F.col("kind") == secret) & (F.xxhash64("word") % 3 == 0)
-    hidden = seen.withColumn("kind", F.when(~F.coalesce(held, F.lit(False)), F.col("kind")))
-    spans = pii.discovered(hidden, pii.patterns(hidden)).where(F.col("kind") == secret)
-    back = seen.where(held).select("row", "start", "end")
-    n = back.count()
-    assert n > 30 and back.join(spans, ["row", "start", "end"]).count() >= 0.9 * n
-    assert spans.join(seen.where(F.col("kind") == secret), ["row", "start", "end"], "left_anti").count() == 0
+OTHER_FORMS = {
+    "email": ["jo.w at mail dot example dot com", "Ann[at]host[dot]org", "x_y (at) some-host (dot) net", "root@localhost"],
+    "ip": ["2001:db8::ff00:42:8329", "fe80:0:0:0:1:2:3:4", "192:168:1:17"],
+    "card": ["4111.1111.1111.1112", "4000_1234_5678_9012", "5105 1051 0510 5106", "3782-822463-10005"],
+    "phone": ["(030) 123 4567", "555.010.9788", "0049/170/5550199", "555-0100"],
+}
+INTROS = {"email": ("write to", "in time"), "ip": ("from host", "again"), "card": ("pay with", "today"), "phone": ("call me at", "now")}
+BASE_FORMS = {"email": lambda i: f"u{i}@mail{i % 3}.com", "ip": lambda i: f"10.0.{i}.{2 * i}", "card": lambda i: next(f"411111111111{i:02d}{x:02d}" for x in range(100) if luhn(f"411111111111{i:02d}{x:02d}")), "phone": lambda i: f"+1 (555) 555-{1000 + i}"}
+
+
+def test_forms_that_no_seed_has_are_discovered_in_trusted_contexts_alone(spark):
+    """The seeds have the base patterns' forms; what is sought has others, so that nothing but its context tells."""
+    rng, rows, want = random.Random(3), [], {}
+    prose = lambda: " ".join(rng.choice(["word", "the", "of", "river", "stone", "house"]) for _ in range(rng.randint(3, 9)))
+    for kind, (before, after) in INTROS.items():
+        for i in range(14):
+            rows.append((len(rows), f"{prose()} {before} {BASE_FORMS[kind](i)} {after} {prose()}"))
+        for form in OTHER_FORMS[kind]:
+            assert not any(k == kind for k, *_ in brute(form)), form
+            head = f"{prose()} {before} "
+            lead = len(regex.match(r"[^\p{L}\p{N}+(@]*", form)[0])
+            want[len(rows)] = f"{kind}:{len(head) + lead}:{len(head) + len(form)}"
+            rows.append((len(rows), f"{head}{form} {after} {prose()}"))
+            want[len(rows)] = ""  # the same among words that no seed has about it
+            rows.append((len(rows), f"{prose()} {form} {prose()}"))
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == listed(brute(t)) for i, t in rows if i not in want)
+
+
+def test_the_given_table_holds_no_identifier_beyond_the_base_patterns(spark):
+    """What is discovered in ``documents``: nothing. Its identifiers stand among random words, so no context is trusted; tokens of letters and digits are no personal data of the four kinds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pii.personal_data(docs).where("base <> spans")
+    assert rows.count() == 0
