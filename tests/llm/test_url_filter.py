@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from granary.llm import url_filter as U
 
@@ -108,3 +109,29 @@ def test_matches_the_sql(spark):
 def test_empty_table(spark):
     out = U.judged(spark.createDataFrame([], PAGES))
     assert out.columns == ["page_id", "host", "path", "rule", "verdict", "purity"] and out.count() == 0
+
+
+def test_variable_segments_far_below_are_generalised_and_merged(spark):
+    """At level 7, below branches that the rules block; the same templates are reached by paths that no rule fits."""
+    deep = "http://s.net{}es/a/b/c/d/e/slug-{}/{}"
+    letters = "abcdefghijklmnop"
+    bad = [deep.format("/", x + y, z) for x in letters for y in "qrst" for z in ("view", "edit")]
+    good = [f"http://fine.com/a/b/c/d/e/{x}/view" for x in letters]
+    asked = [deep.format("//", "never-seen", "view"), deep.format("//", "aq", "edit"), "http://s.net//es/a/b/c/d/e/slug-aq/view/more/and/more", "http://s.net//en/a/b/c/d/e/slug-aq/view"]
+    got = judged(spark, [*bad, *good, *asked])
+    rows = [got[len(bad) + len(good) + i] for i in range(len(asked))]
+    assert [r["verdict"] for r in rows] == ["block", "block", "block", "allow"] and [r["rule"] for r in rows] == [None] * 4
+    pages = spark.createDataFrame(list(enumerate([*bad, *good, *asked])), PAGES)
+    rows = U.segments(F.lit("//es/a1/b//c/22/e/")).alias("s")
+    assert pages.select(rows).first()["s"] == ["es", "a#", "b", "c", "#", "e"]
+    counts = pages.select(U.parts(F.col("url"))[0].alias("host"), U.segments(U.parts(F.col("url"))[1]).alias("segs")).groupBy("host", "segs").agg(F.count("*").alias("n"), F.lit(0).alias("blocked"), F.lit(0).alias("labelled"))
+    assert U.branches(counts).count() == counts.count()
+
+
+def test_labels_differ_by_a_segment_far_below(spark):
+    """Rules that fit some branches of level 4 only: the tree tells these from their siblings."""
+    rules = (("x.org", "/a/b/c/spam-0/", "block"), ("x.org", "/a/b/c/spam-1/", "block"), ("x.org", "/a/b/c/fine-0/", "allow"), ("x.org", "/a/b/c/fine-1/", "allow"))
+    urls = [f"http://x.org/a/b/c/{kind}-{i}/{n}.html" for kind in ("spam", "fine") for i in (0, 1) for n in range(40)] + [f"http://x.org/a/b//c/{kind}-{i}/{n}.html" for kind in ("spam", "fine") for i in (0, 1) for n in range(3)]
+    pages = spark.createDataFrame(list(enumerate(urls)), PAGES)
+    got = {r["path"]: r for r in U.judged(pages, rules).collect() if "//" in r["path"]}
+    assert len(got) == 12 and all(r["rule"] is None and r["verdict"] == ("block" if "spam" in p else "allow") for p, r in got.items())
