@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.scratch import map_batches, place_of, quoted, with_fields
+from granary.llm.scratch import map_batches, place_of, quoted, with_fields, written
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -60,12 +60,14 @@ def presence(texts: list[str], sizes: tuple[int, ...], features: int) -> np.ndar
     return out
 
 
-def sampled(docs: DataFrame, per_language: int, sizes: tuple[int, ...], features: int, seed: int) -> list[tuple[str, bytes]]:
+def sampled(docs: DataFrame, per_language: int, most_languages: int, sizes: tuple[int, ...], features: int, seed: int) -> list[tuple[str, bytes]]:
     """(lang, which n-grams are present, packed) of the sampled texts, by language and hash. Texts stay in their tasks; the driver gets ``features`` bits of each."""
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = known.select("lang", F.xxhash64(F.lit(seed), "text").alias("h"), "text")
     # A third of all rows may be of one language: each of per_language salts keeps its first hash, so that many at most meet.
-    few = hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(per_language)).alias("salt")).agg(F.min("h").alias("h")).select("lang", "h")
+    least = written(hashed.groupBy("lang", F.pmod(F.col("h"), F.lit(per_language)).alias("salt")).agg(F.min("h").alias("h"), F.count("*").alias("n")), "sample")
+    largest = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    few = least.join(largest.select("lang"), "lang", "left_semi").select("lang", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,35 +76,39 @@ def sampled(docs: DataFrame, per_language: int, sizes: tuple[int, ...], features
                 bits = np.packbits(presence(part.column(2).to_pylist(), sizes, features) > 0, axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], ["lang", "h", "bits"])
 
-    # The hashes are per_language rows for a language at most: a bound that the parameters set.
+    # Hashes of per_language rows at most for each of most_languages languages at most: the parameters bound the broadcast and what is collected.
     chosen = map_batches(hashed.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", "text"), run, "lang string, h long, bits binary")
     rows = chosen.groupBy("lang", "h").agg(F.min("bits").alias("bits")).collect()
     return [(r["lang"], bytes(r["bits"])) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
 
-def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 128, sizes: tuple[int, ...] = (1, 2, 3), features: int = 1 << 13, ridge: float = 0.1, seed: int = 7) -> Model:
+def fit(docs: DataFrame, per_language: int = 400, most_languages: int = 128, landmarks: int = 128, sizes: tuple[int, ...] = (1, 2, 3), features: int = 1 << 13, ridge: float = 0.1, seed: int = 7) -> Model:
     """Learn from ``docs`` (text, lang); rows with a null in either, or no letter, take no part.
 
     The bounded sample: of each language ``per_language`` rows at most, those
     whose hashed text is the least of its remainder modulo that number; whole
-    texts. ``features`` is a power of two. Landmarks are the first sampled
+    texts. A column with more values than ``most_languages`` is learnt for those
+    that have the most rows, equal numbers by name. ``features`` is a power of two. Landmarks are the first sampled
     texts, as many of each language. The texts' own hash decides, so reruns
     agree and repeated texts count once. Without a usable row the model knows
     no language.
     """
-    rows = sampled(docs, per_language, sizes, features, seed)
+    rows = sampled(docs, per_language, most_languages, sizes, features, seed)
     languages = sorted({lang for lang, _ in rows})
     of = np.array([languages.index(lang) for lang, _ in rows], dtype=np.int64)
     if not languages:
         return Model([], sizes, features, np.zeros((features, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32), np.zeros(0))
-    present = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for _, b in rows]).astype(np.float32)
-    present /= np.sqrt(np.maximum(1, present.sum(axis=1, keepdims=True)))
+    def unpacked(bits: list[bytes]) -> np.ndarray:
+        present = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
+        return present / np.sqrt(np.maximum(1, present.sum(axis=1, keepdims=True)))
+
     share = max(1, landmarks // len(languages))
-    marks = present[np.concatenate([np.flatnonzero(of == k)[:share] for k in range(len(languages))])]
+    marks = unpacked([rows[i][1] for k in range(len(languages)) for i in np.flatnonzero(of == k)[:share]])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (present @ marks.T).astype(np.float64) @ whiten
+    kernel = np.concatenate([unpacked([bits for _, bits in rows[at : at + 1024]]) @ marks.T for at in range(0, len(rows), 1024)])
+    phi = kernel.astype(np.float64) @ whiten
     target = np.where(of[:, None] == np.arange(len(languages)), 1.0, -1.0)
     phi_mean, target_mean = phi.mean(axis=0), target.mean(axis=0)
     centred = phi - phi_mean

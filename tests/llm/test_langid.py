@@ -103,3 +103,13 @@ def test_clashing_names_of_any_case_and_long_training_texts(spark):
     late = [(i, "12 " * 3000 + ("the cat and the dog" if i % 2 else "der hund und die katze"), "en" if i % 2 else "de") for i in range(40)]
     long = spark.createDataFrame(late, DOCS)  # what tells the languages apart begins after 9,000 characters
     assert L.predict(long, L.fit(long)).where("lang_pred = lang").count() == 40
+
+
+def test_a_column_of_very_many_values_is_learnt_for_the_commonest(spark, documents):
+    rows = [(i, f"the cat and the dog of house number {i}", "en") for i in range(0, 90)] + [(100 + i, f"der hund und die katze vom haus {i}", "de") for i in range(60)]
+    rows += [(1000 + i, f"dirty value {i} of the column", f"x{i}") for i in range(300)]
+    model = L.fit(documents(*rows), most_languages=2)
+    assert model.languages == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.predict(documents(*rows), model).collect()}
+    assert all(got[i] == "en" for i in range(90)) and all(got[100 + i] == "de" for i in range(60))
+    assert len(L.fit(documents(*rows)).languages) == 128
