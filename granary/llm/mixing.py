@@ -62,22 +62,32 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     Sources in code point order, null last, weigh ``weights`` in turn. A
     target is the source's weight times one level for all, or ``most`` times
     its size where that is less; the level is the one at which the targets add
-    up to all sizes. In order of the level at which each source is full, it is
-    the first that the source itself doesn't exceed. The windows run over one
-    row per source.
+    up to all sizes. In order of the level at which sources are full, it is
+    the first that those sources don't exceed; sources that are full at one
+    level go together. Sources are numbered in range partitions: of the windows one runs over the
+    ranges, one over the distinct levels, the others over sums of some thousand sources.
     """
-    every = Window.partitionBy()
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    full = Window.orderBy("full_at", "sid").rowsBetween(Window.unboundedPreceding, -1)
+    order = F.col("source").asc_nulls_last()
     sums = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    sid = sums.withColumn("sid", F.row_number().over(by_name) - 1)
+    # Upper bits: the range; the lower 33: the place in it.
+    ranked = written(sums.repartitionByRange(order).sortWithinPartitions(order).withColumn("at", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("at", 33)
+    before = lambda value, by, *within: F.sum(value).over(Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value)
+    ranges = ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", before("n", "part").alias("first"))
+    each = ranked.withColumn("part", part).join(ranges, "part").withColumn("sid", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1))
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("sid") % len(weights) + 1).cast("int"))
-    each = sid.withColumn("w", w).withColumns({"cap": most * F.col("source_size"), "full_at": most * F.col("source_size") / F.col("w"), "all": F.sum("source_size").over(every), "all_w": F.sum("w").over(every)})
-    spent, used = F.coalesce(F.sum("cap").over(full), F.lit(0)), F.coalesce(F.sum("w").over(full), F.lit(0))
-    each = each.withColumn("level", (F.col("all") - spent) / (F.col("all_w") - used))
-    each = each.withColumn("at", F.min_by(F.when(F.col("level") <= F.col("full_at"), F.col("level")), F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "sid"))).over(every))
-    each = each.withColumn("target", F.least(F.col("cap").cast("double"), F.col("at") * F.col("w"))).withColumn("quota", F.floor(F.col("target") + 0.5))
-    return each.withColumn("slots", F.ceil(F.col("quota") / BLOCK_WORDS)).withColumn("first_slot", F.sum("slots").over(Window.orderBy("sid")) - F.col("slots")).select("source", "sid", "source_size", "target", "quota", "first_slot", "slots")
+    each = each.withColumn("w", w).withColumns({"cap": most * F.col("source_size"), "full_at": most * F.col("source_size") / F.col("w")}).select("source", "sid", "source_size", "w", "cap", "full_at")
+    each = written(each, "weights")
+    everything, all_w = each.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    full = each.groupBy("full_at").agg(F.sum("cap").alias("cap"), F.sum("w").alias("w"))
+    level = (F.lit(everything) - before("cap", "full_at")) / (F.lit(all_w) - before("w", "full_at"))
+    found = full.withColumn("level", level).where(F.col("level") <= F.col("full_at")).agg(F.min_by("level", "full_at")).first()[0]
+    common = F.lit(found).cast("double")
+    each = each.withColumn("target", F.least(F.col("cap").cast("double"), common * F.col("w"))).withColumn("quota", F.floor(F.col("target") + 0.5))
+    each = each.withColumn("slots", F.ceil(F.col("quota") / BLOCK_WORDS)).withColumn("wide", F.shiftright("sid", _WIDE_BITS))
+    wide = each.groupBy("wide").agg(F.sum("slots").alias("n")).select("wide", before("n", "wide").alias("far"))
+    placed = each.withColumn("near", before("slots", "sid", "wide")).join(wide, "wide")
+    return placed.select("source", "sid", "source_size", "target", "quota", (F.col("far") + F.col("near")).alias("first_slot"), "slots")
 
 
 def schedule(sources: DataFrame) -> DataFrame:
