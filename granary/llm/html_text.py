@@ -26,6 +26,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import filterfalse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,12 +51,13 @@ IMPLIED_END = {"li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": fro
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 PARAGRAPH_SCOPE = frozenset("button caption html marquee object table td template th".split())
 
+#: A tag without quotes: most are. It never looks beyond the next angle bracket.
+_PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^<>\"']*)>")
 _TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _TAG_PART = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _TOLD = re.compile("class|id|role|hidden|style", re.I)
 _NAME_PART = re.compile("[A-Z]?[a-z]+|[A-Z]+")
-_SPACES = re.compile(r"\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
 # Numeric references of more digits than any character has: Python refuses to read very long numbers.
 _ZEROS, _TOO_LONG = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
@@ -125,7 +127,7 @@ def _judged(tag: str, attributes: str, in_article: bool) -> bool | tuple[str, bo
     if tag in OUTSIDE or tag == "header" and not in_article:
         return True
     found = ("header", False) if tag == "header" else None
-    if not _TOLD.search(attributes):
+    if not attributes or not _TOLD.search(attributes):
         return found
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -164,10 +166,21 @@ class _Scanner:
             at = part.end() if closed < 0 else closed + 1
         return -1
 
+    def _raw_end(self, name: str, at: int) -> int:
+        """Where the element's own end tag begins: nothing is a tag until there."""
+        last = re.compile(f"</{re.escape(name)}(?=[\\s/>])", re.I).search(self.page, at)
+        return last.start() if last else len(self.page)
+
     def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
         """(start, end, name, whether it closes, attributes); comments and declarations have no name. A tag or comment that the page breaks off in ends with the page, as a comment."""
         page, at = self.page, 0
-        while (at := self._find("<", at)) >= 0:
+        while (at := page.find("<", at)) >= 0:
+            if plain := _PLAIN_TAG.match(page, at):
+                start, at, tag = at, plain.end(), plain[2].lower()
+                yield start, at, tag, plain[1] == "/", plain[3]
+                if tag in RAW and not plain[1]:
+                    at = self._raw_end(tag, at)
+                continue
             start, closing = at, page.startswith("/", at + 1)
             name = _TAG_NAME.match(page, at + 1 + closing)
             if name:
@@ -182,16 +195,15 @@ class _Scanner:
                 continue
             at = end + 1 if end >= 0 else len(page)
             yield (start, at, name[0].lower(), closing, page[name.end() : end]) if name and end >= 0 else (start, at, "", False, "")
-            if name and end >= 0 and not closing and name[0].lower() in RAW:  # nothing is a tag until its own end tag
-                last = re.compile(f"</{re.escape(name[0])}(?=[\\s/>])", re.I).search(page, at)
-                at = last.start() if last else len(page)
+            if name and end >= 0 and not closing and name[0].lower() in RAW:
+                at = self._raw_end(name[0], at)
 
 
 def _decoded(parts: list[str]) -> str:
     text = "".join(parts)
     if "&#" in text:
         text = _TOO_LONG.sub("\ufffd", _ZEROS.sub("&#", text))
-    return _SPACES.sub(" ", html.unescape(text)).strip()
+    return " ".join(html.unescape(text).split())
 
 
 def _parsed(page: str) -> tuple[list[Block], list[Element]]:
@@ -223,7 +235,8 @@ def _parsed(page: str) -> tuple[list[Block], list[Element]]:
             # References are decoded over the whole block: an end of text inside one is none in the block.
             text = _decoded([t for t, _ in parts])
             if text:
-                linked = len(_decoded([t for t, a in parts if a]))
+                inside_links = [t for t, a in parts if a]
+                linked = len(_decoded(inside_links)) if inside_links else 0
                 found.append(Block(text, tag_now, linked, article > 0, element=element))
             parts.clear()
 
@@ -370,7 +383,7 @@ def _language(page: str) -> str:
 
 def _share(block: Block, rules: Rules) -> float:
     words = _WORDS.findall(block.text.lower())
-    return sum(w in rules.stop_words for w in words) / max(1, len(words))
+    return sum(map(rules.stop_words.__contains__, words)) / max(1, len(words))
 
 
 def main_text(page: str, rules: Rules) -> str:
@@ -416,25 +429,26 @@ def stop_words(pages: DataFrame, share: float = 0.3) -> tuple[frozenset[str], fr
     """Words that at least ``share`` of all pages with the same language tag hold, two pages at least, counted over whole pages; and the tags that have any. Pages without a tag are one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], int] = {}
-        held = 0
+        counts: dict[str, Counter[str]] = {}
+        held = chars = 0
 
         def counted() -> pa.RecordBatch:
-            columns = [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+            rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))]
             return pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
         for batch in batches:
             for page in batch.column(0):
-                lang = _language(page := page.as_py())
-                words = {w for b in blocks(page) for w in _WORDS.findall(b.text.lower())}
-                for w in (*words, ""):  # the empty word counts the pages
-                    n = counts.get((lang, w), 0)
-                    counts[lang, w] = n + 1
-                    held += len(w) if not n else 0
-                if len(counts) > _HELD or held > _HELD_CHARS:
+                own = counts.setdefault(_language(page := page.as_py()), Counter())
+                words = {""}.union(*(_WORDS.findall(b.text.lower()) for b in blocks(page)))  # the empty word counts the pages
+                chars += sum(map(len, filterfalse(own.__contains__, words)))
+                held -= len(own)
+                own.update(words)
+                held += len(own)
+                if held > _HELD or chars > _HELD_CHARS:
                     yield counted()
                     counts.clear()
-                    held = 0
+                    held = chars = 0
         yield counted()
 
     found = written(map_batches(pages.where(F.length("html") > 0).select("html"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
