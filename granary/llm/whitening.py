@@ -108,7 +108,7 @@ def components(v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(column: pa.ListArray, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Which vectors take part, and floor(SCALE * entry) of those, a row each; a shorter vector is filled up with zeros."""
+    """Which vectors take part, and floor(SCALE * entry) of those, a row each; a shorter vector is filled up with zeros. Without ``dims`` as many as the longest has, or one more than are allowed."""
     lengths = np.diff(column.offsets.to_numpy())
     flat = column.flatten()
     values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
@@ -118,7 +118,9 @@ def _entries(column: pa.ListArray, dims: int | None = None) -> tuple[np.ndarray,
         whole &= np.bincount(row[~np.isfinite(values)], minlength=len(lengths)) == 0
         values = values[whole[row]]
     lengths = lengths[whole]
-    dims = int(lengths.max(initial=0)) if dims is None else dims
+    dims = min(int(lengths.max(initial=0)), MOST_DIMS + 1) if dims is None else dims
+    if lengths.max(initial=0) > dims:
+        values = values[np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < dims]
     out = np.zeros((len(lengths), dims), dtype=np.int64)
     out[np.arange(dims) < lengths[:, None]] = np.floor(SCALE * np.clip(values, -_MOST_ENTRY, _MOST_ENTRY)).astype(np.int64)
     return whole, out

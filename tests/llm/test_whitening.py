@@ -109,3 +109,5 @@ def test_too_long_vectors_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(whitening, "MOST_DIMS", 3)
     with pytest.raises(ValueError):
         whitening.whitened(table(spark, [(1, [1.0] * 4)]))
+    with pytest.raises(ValueError):
+        whitening.whitened(table(spark, [(1, [1.0] * 2), (2, [1.0] * 5_000_000), (3, [2.0])]))
